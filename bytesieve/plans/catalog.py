@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from bytesieve.plans import registry
-from bytesieve.plans import triage_queries  # noqa: F401  (registers on import)
+from bytesieve.plans import (  # noqa: F401  (register on import)
+    curation_queries, evaluation_queries, feature_queries, triage_queries,
+)
 
 
 def queries():

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytesieve import rules
-from bytesieve.functions import bytesx as B
 from bytesieve.functions import text as T
-from bytesieve.functions.entropy import shannon
+from bytesieve.functions.entropy import entropy
 from bytesieve.operators import dims, triage
 from bytesieve.plans import duck as D
 from bytesieve.plans.registry import query
@@ -227,12 +226,9 @@ _check_query("polyglot", "polyglot", triage.polyglot_checks)
     -sum(n / 64.0::double * log2(n / 64.0::double)) / 8 > 0.95 as is_high
   from c group by file_id""")
 def entropy64(spark, sf):
-    head = headers(spark, sf).where(F.octet_length("header") >= 64).select(
-        "file_id", B.latin1(F.substring("header", 1, 64)).alias("head"))
-    return (
-        head.withColumn("e", shannon(F.col("head")) / 8)
-        .select("file_id", F.round("e", 6).alias("entropy"), (F.col("e") > rules.ENTROPY_LIMIT).alias("is_high"))
-    )
+    e = headers(spark, sf).where(F.octet_length("header") >= 64).select(
+        "file_id", (entropy(F.substring("header", 1, 64)) / 8).alias("e"))
+    return e.select("file_id", F.round("e", 6).alias("entropy"), (F.col("e") > rules.ENTROPY_LIMIT).alias("is_high"))
 
 
 @query("header_issues", D.HEAD + f"""
