@@ -241,7 +241,7 @@ def aug_partial_shuffle(spark, sf):
     """Permuting positions keeps each vector's sum."""
     df = cu.with_partial_shuffle(clean(spark, sf), ["id"])
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
-    return df.select("id", F.size("features").cast("long").alias("width"), F.round(total, 4).alias("total"))
+    return df.select("id", F.size("features").cast("long").alias("width"), F.round(total, 3).alias("total"))
 
 
 @query("balance_oversample", _L + """select label, (select max(n) from c) as rows, n as originals from c""")
