@@ -236,7 +236,7 @@ for _n, _s in (("aug_noise", "noise"), ("aug_dropout", "dropout"), ("aug_shift",
     _strategy_query(_n, _s)
 
 
-@query("aug_partial_shuffle", _L + "select id, 64::bigint as width, round(list_sum(f), 4) as total from s")
+@query("aug_partial_shuffle", _L + "select id, 64::bigint as width, round(list_sum(f), 3) as total from s")
 def aug_partial_shuffle(spark, sf):
     """Permuting positions keeps each vector's sum."""
     df = cu.with_partial_shuffle(clean(spark, sf), ["id"])
