@@ -90,8 +90,8 @@ def st_reassembly(spark, sf):
   arg_max(status, (ts_us, event_id)) in ('Complete', 'Blocked', 'Cancelled', 'Failed') as is_terminal from log group by 1""")
 def st_latest_status(spark, sf):
     log = as_log(jobs.stream_table(spark, sf, "transfers"))
-    newest = jobs.newest_per_key(log.select("task_id", "ts_us", "event_id", "status"), "task_id", ["ts_us", "event_id"])
-    out = jobs.run(newest, "update", ["task_id"], order="ts_us")
+    out = jobs.run(log.select("task_id", "ts_us", "event_id", "status"), keys=["task_id"], order="ts_us",
+                   per_batch=lambda b: jobs.newest_per_key(b, "task_id", ["ts_us", "event_id"]))
     return out.select("task_id", "status", F.col("status").isin(rules.TERMINAL_STATUSES).alias("is_terminal"))
 
 
@@ -100,7 +100,8 @@ def st_latest_status(spark, sf):
   select output_path, bytes_downloaded, saved_at from s where (select max(saved_at) from s) - saved_at < 604800""")
 def st_resume_state(spark, sf):
     saves = jobs.stream_table(spark, sf, "resume_saves").select("output_path", "bytes_downloaded", "saved_at")
-    out = jobs.run(jobs.newest_per_key(saves, "output_path", ["saved_at"]), "update", ["output_path"], order="saved_at")
+    out = jobs.run(saves, keys=["output_path"], order="saved_at",
+                   per_batch=lambda b: jobs.newest_per_key(b, "output_path", ["saved_at"]))
     return jobs.drop_expired(out)
 
 

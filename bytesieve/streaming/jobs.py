@@ -7,7 +7,7 @@ sinks are the caller's.  Stateless jobs reuse the batch operators unchanged.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,19 +41,22 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, **options) -> Data
     return spark.sql(text, **frames)
 
 
-def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, order: str = "batch") -> DataFrame:
+def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, order: str = "batch",
+        per_batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Drain a stream into parquet below the work folder and read it back.
 
     One folder per micro-batch, overwritten on a retry, so a batch that is run
     again after a failure is stored once.  With ``keys`` the result is the
     newest row per key (by ``order``); complete mode keeps the newest batch.
+    ``per_batch`` reduces each micro-batch before it is stored.
     """
     spark = df.sparkSession
     out = session.new_path(spark, "stream")
     spark.createDataFrame([], df.schema).write.parquet(os.path.join(out, "batch=-1"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        reduced = per_batch(batch) if per_batch else batch
+        reduced.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
     (df.writeStream.foreachBatch(save).outputMode(mode)
      .option("checkpointLocation", session.new_path(spark, "stream-state"))
@@ -112,10 +115,11 @@ def stats_stream(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
 # ------------------------------------------------------------ latest value per key
 
 def newest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Newest row per key within each micro-batch, for an upsert sink.
+    """Newest row per key; used per micro-batch ahead of an upsert sink.
 
-    The keyed table is the state, so Spark holds none: stored batches are
-    folded by :func:`run` (or a MERGE) on the same order.
+    Run on each batch (``run(..., per_batch=...)``) it leaves the query
+    stateless: the stored table is the state, folded on the same order when
+    read, and keys that stop changing cost nothing.
     """
     values = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(key, "_v.*")
