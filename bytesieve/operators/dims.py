@@ -1,5 +1,6 @@
 """Fixed rule tables as small DataFrames.
 
+Each is a literal VALUES relation: known to the optimizer, no job to load it.
 Row counts equal the rule lists' lengths (at most a few dozen), whatever the
 input size, so broadcasting them needs no runtime size check.
 """
@@ -11,50 +12,58 @@ from pyspark.sql import DataFrame, SparkSession
 from bytesieve import rules
 
 
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (int, float)):
+        return repr(v) + ("D" if isinstance(v, float) else "")
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(literal(x) for x in v) + ")"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def values(spark: SparkSession, rows, columns: str) -> DataFrame:
+    body = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
 def file_types(spark: SparkSession) -> DataFrame:
     rows = [
         (t, rules.TYPE_RISK.get(t, rules.DEFAULT_TYPE_RISK), t in rules.EXECUTABLE_TYPES,
          t in rules.SCRIPT_TYPES, rules.TYPE_NAMES.get(t, rules.DEFAULT_TYPE_NAME))
         for t in rules.FILE_TYPES
     ]
-    return spark.createDataFrame(
-        rows, "detected_type string, type_risk double, is_executable boolean, "
-              "is_script boolean, type_name string")
+    return values(spark, rows, "detected_type, type_risk, is_executable, is_script, type_name")
 
 
 def extensions(spark: SparkSession) -> DataFrame:
     exts = sorted(set(rules.EXTENSION_TYPES) | set(rules.EXTENSION_RISK) | set(rules.EXECUTABLE_EXTENSIONS))
     rows = [(e, rules.EXTENSION_TYPES.get(e), rules.EXTENSION_RISK.get(e),
              e in rules.EXECUTABLE_EXTENSIONS) for e in exts]
-    return spark.createDataFrame(
-        rows, "extension string, expected_types array<string>, listed_risk double, runs boolean")
+    return values(spark, rows, "extension, expected_types, listed_risk, runs")
 
 
 def threat_levels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        rules.THREAT_LEVELS, "threat_level string, score int, requires_blocking boolean, action string")
+    return values(spark, rules.THREAT_LEVELS, "threat_level, score, requires_blocking, action")
 
 
 def stream_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        rules.STREAM_TYPES, "stream_type string, type_name string, is_streaming boolean")
+    return values(spark, rules.STREAM_TYPES, "stream_type, type_name, is_streaming")
 
 
 def track_policy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules.TRACK_POLICY, "track_kind string, decision string")
+    return values(spark, rules.TRACK_POLICY, "track_kind, decision")
 
 
 def statuses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        rules.STATUSES, "status string, is_terminal boolean, is_active boolean, description string")
+    return values(spark, rules.STATUSES, "status, is_terminal, is_active, description")
 
 
 def resource_levels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        rules.RESOURCE_LEVELS,
-        "level int, level_name string, speed_multiplier double, max_concurrent int, level_text string")
+    return values(spark, rules.RESOURCE_LEVELS, "level, level_name, speed_multiplier, max_concurrent, level_text")
 
 
 def error_kinds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        rules.ERROR_KINDS, "error_kind string, category string, recoverable boolean, is_security boolean")
+    return values(spark, rules.ERROR_KINDS, "error_kind, category, recoverable, is_security")

@@ -208,19 +208,30 @@ def ts_repaired(data: Column, rule_set: list[Rule] = DEFAULT) -> Column:
     """Replace bad packets by null packets, in place and in order.
 
     Works inside the row, so packets are never shuffled apart and joined again.
+    Payloads are searched packet by packet only in segments where some rule
+    matches anywhere at all; that first test is one pass in generated code.
     """
+    active = _active(rule_set)
     null_packet = B.latin1_lit(rules.TS_NULL_PACKET)
     low, high = rules.TS_RESERVED_PIDS
-
-    def fix(i: Column) -> Column:
-        pkt = _packet(data, i)
-        payload = F.substring(pkt, 5, rules.TS_PACKET_SIZE - 4)
-        bad = ~F.startswith(pkt, B.blob(bytes([rules.TS_SYNC_BYTE]))) | packet_pid(pkt).between(low, high)
-        for r in _active(rule_set):
-            bad = bad | B.has(payload, r.pattern)
-        return F.when(bad, null_packet).otherwise(B.latin1(pkt))
-
-    whole = F.array_join(F.transform(_numbers(data), fix), "")
+    suspect = F.lit(False)
+    for r in active:
+        suspect = suspect | B.has(data, r.pattern)
+
+    def fixed(search: bool) -> Column:
+        def fix(t: Column) -> Column:
+            # The PID's high five bits are in byte 1, its low eight in byte 2.
+            reserved = (F.ascii(F.substring(t, 2, 1)) % 32 == 0) & F.ascii(F.substring(t, 3, 1)).between(low, high)
+            bad = ~F.startswith(t, F.lit(chr(rules.TS_SYNC_BYTE))) | reserved
+            if search:
+                payload = F.substring(t, 5, rules.TS_PACKET_SIZE - 4)
+                for r in active:
+                    bad = bad | F.contains(payload, B.latin1_lit(r.pattern))
+            return F.when(bad, null_packet).otherwise(t)
+        packets = F.transform(_numbers(data), lambda i: B.latin1(_packet(data, i)))
+        return F.array_join(F.transform(packets, fix), "")
+
+    whole = F.when(suspect, fixed(True)).otherwise(fixed(False))
     used = F.floor(F.octet_length(data) / rules.TS_PACKET_SIZE) * rules.TS_PACKET_SIZE
     rest = F.substring(data, (used + 1).cast("int"), F.lit(rules.TS_PACKET_SIZE))
     return F.concat(B.from_latin1(whole), rest)

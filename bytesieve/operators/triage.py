@@ -287,14 +287,14 @@ def checks_for(header: str = "header", *, entropy_limit: float = rules.ENTROPY_L
     return header_checks(F.col(header), F.col("detected_type"), entropy_limit=entropy_limit)
 
 
-def with_issue_mask(df: DataFrame, header: str = "header") -> DataFrame:
-    return df.withColumn("issue_mask", issue_mask(checks_for(header)))
+def with_issue_mask(df: DataFrame, header: str = "header", checks: list[Check] | None = None) -> DataFrame:
+    return df.withColumn("issue_mask", issue_mask(checks_for(header) if checks is None else checks))
 
 
 def with_header_issues(df: DataFrame, header: str = "header") -> DataFrame:
     """Add ``issues``, ``risk_score`` and ``threat_name``; needs ``detected_type``."""
     checks, mask = checks_for(header), F.col("issue_mask")
-    return with_issue_mask(df, header).select(
+    return with_issue_mask(df, header, checks).select(
         *df.columns, issues(mask, checks).alias("issues"), issue_risk(mask, checks).alias("risk_score"),
         critical_threat(mask, checks).alias("threat_name"))
 
@@ -309,7 +309,7 @@ def issue_counts(df: DataFrame, header: str = "header") -> DataFrame:
     for s in rules.SEVERITY_WEIGHT:
         n = severity_count(F.col("issue_mask"), checks, s)
         sums += [F.sum(n).alias(s + "_n"), F.count(F.when(n > 0, 1)).alias(s + "_f")]
-    one = with_issue_mask(df, header).agg(*sums)
+    one = with_issue_mask(df, header, checks).agg(*sums)
     rows = F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s + "_n").alias("issues"),
                               F.col(s + "_f").alias("files")) for s in rules.SEVERITY_WEIGHT])
     return one.select(F.inline(rows)).where("issues > 0")

@@ -254,7 +254,7 @@ def issue_counts(spark, sf):
   select file_id, risk >= 1.0 as is_critical, risk >= 0.8 as has_high from r""")
 def issue_flags(spark, sf):
     checks, mask = triage.checks_for(), F.col("issue_mask")
-    return triage.with_issue_mask(typed(spark, sf)).select(
+    return triage.with_issue_mask(typed(spark, sf), "header", checks).select(
         "file_id", triage.has_severity(mask, checks, "Critical").alias("is_critical"),
         triage.has_severity(mask, checks, "Critical", "High").alias("has_high"))
 
@@ -341,7 +341,7 @@ def report_rows(spark, sf) -> DataFrame:
     sp = triage.spoofed(F.col("expected_types"), F.col("detected_type"))
     risk = F.col("risk")
     return (
-        triage.with_issue_mask(df)
+        triage.with_issue_mask(df, "header", checks)
         .withColumn("risk", triage.issue_risk(mask, checks))
         .withColumn("_family", triage.critical_threat(mask, checks))
         .select(
