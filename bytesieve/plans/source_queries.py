@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from bytesieve import rules, session
 from bytesieve.operators import curation as cu
 from bytesieve.operators import evaluation as ev
+from bytesieve.operators import features
 from bytesieve.operators import playlists as pl
 from bytesieve.operators import segments as sg
 from bytesieve.operators import triage
+from bytesieve.plans import duck as D
 from bytesieve.plans import registry
 from bytesieve.plans.curation_queries import _BUCKET, KEY, labelled
 from bytesieve.plans.evaluation_queries import _CM, _EPOCHS, epochs, preds, rounded
@@ -20,12 +22,36 @@ from bytesieve.sources import files, sinks, text
 O = registry.ORACLES
 
 
-@query("src_file_headers")
+# Documents stored as plain files, a hundred to a file, in document order.
+def stored_files(spark, df, *folders: str) -> str:
+    path = session.new_path(spark, "files")
+    (df.repartition(*folders).sortWithinPartitions(*folders, "doc_id")
+     .select(*folders, "text").write.partitionBy(*folders).text(path))
+    return path
+
+
+def bucketed(spark, sf):
+    return given(spark, sf, "documents").select(
+        "doc_id", "text", F.floor(F.col("doc_id") / 100).alias("bucket"))
+
+
+def bucket_of(path: str = "path"):
+    return F.regexp_extract(path, r"/bucket=(\d+)/", 1).cast("long").alias("bucket")
+
+
+_STORED = """with b as (select doc_id // 100 as bucket, encode(string_agg(concat(text, chr(10)), '' order by doc_id)) as content
+    from documents group by 1),
+  x as (select bucket, octet_length(content) as file_size, content[1:512] as header, """ + D.spaced_hex("content[1:512]") + """ as hx from b)
+"""
+
+
+@query("src_file_headers", _STORED + f"""select bucket, file_size, md5(header) as digest,
+  {D.first_signature('hx', rules.SIGNATURES + rules.BYTE_ORDER_MARKS, rules.UNKNOWN_TYPE)} as detected_type from x""")
 def src_file_headers(spark, sf):
-    """The table files themselves, typed by their first bytes."""
-    df = triage.with_detected_type(files.file_headers(spark, sf, glob="*.parquet"))
-    return df.select(F.substring_index("path", "/", -1).alias("name"), "file_size", F.hex(F.substring("header", 1, 4)).alias("magic"),
-                     "detected_type")
+    """Stored files, typed by their first bytes."""
+    path = stored_files(spark, bucketed(spark, sf), "bucket")
+    df = triage.with_detected_type(files.file_headers(spark, path, glob="*.txt"))
+    return df.select(bucket_of(), "file_size", F.md5("header").alias("digest"), "detected_type")
 
 
 @query("src_header_table", cte("files") + f""" select file_id, octet_length(content[1:{rules.HEADER_SIZE}]) as size,
@@ -42,12 +68,17 @@ def src_range_prefix(spark, sf):
     return files.response_prefix(df, 16).select("output_path", "http_status", F.decode("header", "UTF-8").alias("head"))
 
 
-@query("src_sample_dirs")
+@query("src_sample_dirs", """with b as (select quality as label, d.doc_id // 100 as bucket,
+    encode(string_agg(concat(text, chr(10)), '' order by d.doc_id)) as content
+  from documents d join labels l on d.doc_id = l.doc_id group by 1, 2)
+  select label, bucket, octet_length(content) as file_size, md5(content[1:512]) as digest from b""")
 def src_sample_dirs(spark, sf):
-    """Folder names give the label; here the scale folder stands for one class."""
-    name = sf.rstrip("/").rsplit("/", 1)[1]
-    df = files.sample_folders(spark, sf, {name: 1}, glob="*.parquet", size=16)
-    return df.select(F.substring_index("path", "/", -1).alias("name"), "file_size", "label")
+    """Two sample folders; the folder gives the label."""
+    labels = given(spark, sf, "labels").select(
+        "doc_id", F.when(F.col("quality") == 1, "malicious").otherwise("benign").alias("kind"))
+    path = stored_files(spark, bucketed(spark, sf).join(labels, "doc_id"), "kind", "bucket")
+    df = files.sample_folders(spark, path, {"kind=benign": 0, "kind=malicious": 1}, glob="*.txt")
+    return df.select("label", bucket_of(), "file_size", F.md5("header").alias("digest"))
 
 
 @query("src_labelled_csv", cte("labelled") + """, u as (select label, unnest(features) as x from labelled)
@@ -158,11 +189,15 @@ def sink_resume_offset(spark, sf):
     return spark.read.parquet(path).select("stream_id", "idx", "length", "offset")
 
 
-@query("feat_raw_from_file")
+_H = "0123456789ABCDEF"
+
+
+@query("feat_raw_from_file", _STORED + f"""select bucket, md5(array_to_string(list_transform(generate_series(0, 511), lambda i:
+    case when i < octet_length(header) then (instr('{_H}', substr(hx, i * 3 + 1, 1)) - 1) * 16 + instr('{_H}', substr(hx, i * 3 + 2, 1)) - 1
+    else 0 end), ',')) as digest from x""")
 def feat_raw_from_file(spark, sf):
-    """Vectors straight from files on storage."""
-    from bytesieve.operators import features
-    df = files.file_headers(spark, sf, glob="*.parquet").where("header is not null")
-    v = df.withColumn("f", features.raw_vector(F.col("header")))
-    return v.select(F.substring_index("path", "/", -1).alias("name"), F.size("f").alias("width"),
-                    F.round(F.element_at("f", 1) * 255).cast("int").alias("first_byte"))
+    """Vectors straight from stored files."""
+    path = stored_files(spark, bucketed(spark, sf), "bucket")
+    df = features.batch_features(files.file_headers(spark, path, glob="*.txt"), entropy=False, histogram=False, metadata=False)
+    ints = F.transform("features", lambda x: F.round(x * 255).cast("int"))
+    return df.select(bucket_of(), F.md5(F.array_join(ints, ",").cast("binary")).alias("digest"))
