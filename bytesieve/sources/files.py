@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +15,8 @@ from bytesieve import rules
 
 def _read_prefix(path: str, size: int) -> bytes | None:
     """First bytes of one file; None when it cannot be read."""
-    from pyarrow import fs
     try:
-        if path.startswith("file:"):
-            where, name = fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
-        elif "://" in path:
-            where, name = fs.FileSystem.from_uri(path)
-        else:
-            where, name = fs.LocalFileSystem(), path
+        where, name, _ = _open_fs(path)
         with where.open_input_stream(name) as f:
             return f.read(size)
     except OSError:
@@ -37,21 +33,56 @@ def prefix(path: Column, size: int = rules.HEADER_SIZE) -> Column:
     return run(path)
 
 
-def list_files(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Path and size of every file; with ``content`` unselected nothing is opened."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", F.col("length").alias("file_size"))
+def _open_fs(path: str):
+    from pyarrow import fs
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path), "file:"
+    if "://" in path:
+        where, name = fs.FileSystem.from_uri(path)
+        return where, name, path[: path.index(name)] if name in path else ""
+    return fs.LocalFileSystem(), path, "file:"
+
+
+def list_files(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True,
+               max_folders: int = 10_000) -> DataFrame:
+    """Path and size of every file, empty ones included; nothing is opened.
+
+    The driver names folders down to two levels (at most ``max_folders``); the
+    tasks list what lies in and below them.  Spark's own file source would
+    leave out empty files.
+    """
+    from pyarrow import fs
+    where, root, scheme = _open_fs(path)
+    seeds, level = [(root, recursive)], [root]
+    for depth in range(2 if recursive else 0):
+        below = [i.path for d in level for i in where.get_file_info(fs.FileSelector(d)) if i.type == fs.FileType.Directory]
+        if not below or len(seeds) + len(below) > max_folders:
+            break
+        # The parents keep only the files directly in them.
+        seeds = [(p, deep and p not in level) for p, deep in seeds] + [(p, True) for p in below]
+        level = below
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs_here = _open_fs(path)[0]
+        for batch in batches:
+            for folder, deep in zip(*(batch.column(c).to_pylist() for c in ("folder", "deep"))):
+                found = [i for i in fs_here.get_file_info(fs.FileSelector(folder, recursive=deep))
+                         if i.type == fs.FileType.File and (glob is None or fnmatch(i.base_name, glob))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([scheme + i.path for i in found], pa.string()),
+                     pa.array([i.size for i in found], pa.int64())], ["path", "file_size"])
+
+    plan = spark.createDataFrame(seeds, "folder string, deep boolean").repartition(len(seeds))
+    return plan.mapInArrow(walk, "path string, file_size long")
 
 
 def file_headers(spark: SparkSession, path: str, *, size: int = rules.HEADER_SIZE, glob: str | None = None,
                  recursive: bool = True, tasks: int | None = None) -> DataFrame:
     """(path, file_size, header) for a folder of files of any size.
 
-    Spark lists the files; the paths (not the contents) are spread evenly over
-    tasks, and each task reads only the prefixes.  Spark's own reader would
-    load every file whole and give each big file a task of its own.
+    The paths (not the contents) are spread evenly over tasks, and each task
+    reads only the prefixes; a whole-file reader would load every file and
+    give each big one a task of its own.
     """
     listed = list_files(spark, path, glob=glob, recursive=recursive)
     spread = listed.repartition(tasks, "path") if tasks else listed.repartition("path")

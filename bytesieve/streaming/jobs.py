@@ -141,7 +141,8 @@ def reassemble_stream(chunks: DataFrame, key: str = "stream_id", max_waiting: in
     and at most ``max_waiting`` held segments; what exceeds that comes out as
     an ``overflow`` row instead of growing the state.  Segments older than the
     next index are dropped.  With ``gap_timeout_ms`` a stream stuck on a gap
-    gives up its state after that silence.
+    gives up its state after that silence (for long-running triggers: a
+    processing-time timer keeps an available-now run from ever ending).
     """
     fields = "stream_id long, idx long, release_no long, outcome string, data binary"
 
