@@ -12,36 +12,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR_US = 3_600_000_000
-DAY_US = 24 * HOUR_US
+MINUTE_US = 60_000_000
+HOUR_US = 60 * MINUTE_US
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` that also matches NULL with NULL; keeps the left keys."""
+    named = right.select(*[F.col(k).alias("_r" + k) if k in keys else F.col(k) for k in right.columns])
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col("_r" + k))
+        on = same if on is None else on & same
+    return left.join(named, on, how).drop(*["_r" + k for k in keys])
+
+
+def _grouped(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Add ``_g`` (the keys as a struct, so NULL keys join too) and ``_b`` (never NULL).
+
+    Joins and windows on these two share one partitioning: one shuffle.
+    """
+    return df.withColumn("_g", F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))).withColumn(
+        "_b", F.coalesce(bucket.cast("long"), F.lit(-(1 << 62))))
 
 
 def with_previous(
-    df: DataFrame, key: str, order: list[str], values: list[str], *, width: int = DAY_US,
+    df: DataFrame, key: str, order: list[str], values: list[str], *, width: int = MINUTE_US,
     prefix: str = "prev_",
 ) -> DataFrame:
     """Add the previous row's ``values`` within ``key``, ordered by ``order``.
 
     ``order[0]`` must be numeric; it is bucketed by ``width``.
     """
-    b = F.floor(F.col(order[0]) / F.lit(width))
-    rows = df.withColumn("_b", b)
-    pick = F.struct(*[F.col(v) for v in values])
-    last = rows.groupBy(key, "_b").agg(
-        F.max_by(pick, F.struct(*[F.col(o) for o in order])).alias("_last")
-    )
-    across = Window.partitionBy(key).orderBy("_b")
-    carry = last.select(key, "_b", F.lag("_last").over(across).alias("_carry"))
-    inside = Window.partitionBy(key, "_b").orderBy(*order)
+    rows = _grouped(df, [key], F.floor(F.col(order[0]) / F.lit(width)))
+    last = rows.groupBy("_g", "_b").agg(
+        F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
+    carry = last.select("_g", "_b", F.lag("_last").over(Window.partitionBy("_g").orderBy("_b")).alias("_carry"))
+    inside = Window.partitionBy("_g", "_b").orderBy(*order)
     cols = [
         F.when(F.row_number().over(inside) == 1, F.col(f"_carry.{v}"))
         .otherwise(F.lag(v).over(inside)).alias(prefix + v)
         for v in values
     ]
-    return (
-        rows.join(carry, [key, "_b"], "left")
-        .select(*df.columns, *cols)
-    )
+    return rows.join(carry, ["_g", "_b"], "left").select(*df.columns, *cols)
 
 
 def with_running_sum(
@@ -49,21 +61,18 @@ def with_running_sum(
 ) -> DataFrame:
     """Add inclusive running sums along ``order``; ``bucket`` must follow it.
 
-    ``bucket`` is a column that never decreases along ``order`` and has a
-    bounded number of values per key.  With no keys the across-bucket window
-    sees one row per bucket.
+    ``bucket`` is a whole number that never decreases along ``order``.  The
+    across-bucket window sees one row per bucket of a key.
     """
-    rows = df.withColumn("_b", bucket)
+    rows = _grouped(df, keys, bucket)
     names = list(amounts)
-    per = rows.groupBy(*keys, "_b").agg(*[F.sum(amounts[n]).alias("_t_" + n) for n in names])
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1)
+    per = rows.groupBy("_g", "_b").agg(*[F.sum(amounts[n]).alias("_t_" + n) for n in names])
+    across = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = per.select(
-        *keys, "_b", *[F.coalesce(F.sum("_t_" + n).over(across), F.lit(0)).alias("_p_" + n) for n in names]
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
+        "_g", "_b", *[F.coalesce(F.sum("_t_" + n).over(across), F.lit(0)).alias("_p_" + n) for n in names])
+    inside = Window.partitionBy("_g", "_b").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return rows.join(before, [*keys, "_b"]).select(
+    return rows.join(before, ["_g", "_b"]).select(
         *df.columns,
         *[(F.sum(amounts[n]).over(inside) + F.col("_p_" + n)).alias(n) for n in names],
     )

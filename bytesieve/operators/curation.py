@@ -290,12 +290,12 @@ def split_simple(df: DataFrame, ids: list[str], key: Column | None = None, bucke
     _check_ratios(ratios)
     k = shuffle_key(*ids, seed=seed) if key is None else key
     ranked = with_position(df, ids, k, unit_bucket() if bucket is None else bucket)
-    n = df.agg(F.count("*").alias("_n"))
-    train = F.floor(F.col("_n") * ratios[0])
-    val = train + F.floor(F.col("_n") * ratios[1])
-    return ranked.crossJoin(F.broadcast(n)).withColumn(
+    n = df.agg(F.count("*").alias("n")).scalar()
+    train = F.floor(n * ratios[0])
+    val = train + F.floor(n * ratios[1])
+    return ranked.withColumn(
         "split", F.when(F.col("position") <= train, "train").when(F.col("position") <= val, "val").otherwise("test")
-    ).drop("_n", "position")
+    ).drop("position")
 
 
 def split_stratified(df: DataFrame, ids: list[str], label: str = "label", key: Column | None = None,
@@ -394,7 +394,8 @@ def feature_moments(df: DataFrame, features: str = "features") -> DataFrame:
 
 
 def normalized(df: DataFrame, moments: DataFrame, features: str = "features") -> DataFrame:
-    """(x - mean) / (std + 1e-8) with given moments (one row, so broadcast)."""
-    centred = F.zip_with(features, "mean", lambda x, m: x - m)
-    scaled = F.zip_with(centred, "std", lambda x, s: x / (s + 1e-8))
-    return df.crossJoin(F.broadcast(moments)).withColumn(features, scaled).drop("mean", "std")
+    """(x - mean) / (std + 1e-8) with given one-row moments."""
+    staged = df.withColumn("_mean", moments.select("mean").scalar()).withColumn("_std", moments.select("std").scalar())
+    centred = F.zip_with(features, "_mean", lambda x, m: x - m)
+    scaled = F.zip_with(centred, "_std", lambda x, s: x / (s + 1e-8))
+    return staged.withColumn(features, scaled).drop("_mean", "_std")

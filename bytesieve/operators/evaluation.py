@@ -108,15 +108,12 @@ def threshold_counts(df: DataFrame, y_true: str = "y_true", y_prob: str = "y_pro
     return out
 
 
-def _totals(per: DataFrame) -> DataFrame:
-    return per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-
-
 def roc_curve(df: DataFrame, **kw) -> DataFrame:
     """fpr and tpr per distinct threshold."""
     c = threshold_counts(df, **kw)
-    return c.crossJoin(F.broadcast(_totals(c))).select(
-        "threshold", _div(F.col("fp"), F.col("n")).alias("fpr"), _div(F.col("tp"), F.col("p")).alias("tpr"))
+    # Every positive and negative is at or above the lowest score.
+    totals = c.agg(F.struct(F.max("tp").alias("p"), F.max("fp").alias("n")).alias("t")).scalar()
+    return c.select("threshold", _div(F.col("fp"), totals["n"]).alias("fpr"), _div(F.col("tp"), totals["p"]).alias("tpr"))
 
 
 def auc_roc(df: DataFrame, **kw) -> DataFrame:

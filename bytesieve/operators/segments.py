@@ -182,8 +182,9 @@ def _numbers(data: Column) -> Column:
 def ts_packets(df: DataFrame, data: str = "data") -> DataFrame:
     """One row per whole packet: number, bytes, sync flag and PID."""
     keep = [c for c in df.columns if c != data]
-    numbered = df.select(*keep, data, F.explode(_numbers(F.col(data))).alias("pkt_no"))
-    cut = numbered.select(*keep, "pkt_no", _packet(F.col(data), F.col("pkt_no")).alias("pkt"))
+    # Packets are cut before they are exploded, so no row carries the whole segment.
+    packets = F.transform(_numbers(F.col(data)), lambda i: _packet(F.col(data), i))
+    cut = df.select(*keep, F.posexplode(packets).alias("pkt_no", "pkt"))
     return cut.select(
         *keep, "pkt_no", "pkt", F.startswith("pkt", B.blob(bytes([rules.TS_SYNC_BYTE]))).alias("is_valid"),
         packet_pid(F.col("pkt")).alias("pid"))
@@ -247,7 +248,7 @@ def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], salts: int = SAL
     """
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys]), F.lit(salts)).cast("int")
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", spread).join(copies, [*keys, "_salt"]).drop("_salt")
+    return O.null_safe_join(big.withColumn("_salt", spread), copies, [*keys, "_salt"]).drop("_salt")
 
 
 def first_gaps(df: DataFrame, key: str = "stream_id", idx: str = "idx") -> DataFrame:

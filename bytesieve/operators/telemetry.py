@@ -145,7 +145,7 @@ def pool_stats(requests: DataFrame) -> DataFrame:
 
 
 def idle_sessions(df: DataFrame, key: str = "host", ts: str = "ts_us", tie: str = "event_id",
-                  idle_secs: int = rules.IDLE_SECS, width: int = O.DAY_US) -> DataFrame:
+                  idle_secs: int = rules.IDLE_SECS, width: int = O.MINUTE_US) -> DataFrame:
     """Sessions split where a host stayed silent longer than ``idle_secs``."""
     prev = O.with_previous(df.select(key, ts, tie), key, [ts, tie], [ts], width=width)
     new = F.when(F.col("prev_" + ts).isNull() | (F.col(ts) - F.col("prev_" + ts) > idle_secs * SECOND_US), 1).otherwise(0)
@@ -178,7 +178,7 @@ def with_level_facts(df: DataFrame) -> DataFrame:
 
 
 def level_changes(df: DataFrame, key: str = "host", ts: str = "ts_us", tie: str = "event_id",
-                  width: int = O.DAY_US) -> DataFrame:
+                  width: int = O.MINUTE_US) -> DataFrame:
     """Rows whose level differs from the one before; hosts start at Low."""
     prev = O.with_previous(df, key, [ts, tie], ["level"], width=width)
     return prev.withColumn("prev_level", F.coalesce("prev_level", F.lit(0))).where("level <> prev_level")

@@ -70,7 +70,7 @@ def overall(spark, sf):
 @query("val_columns", _L + """select 'Column ''label'' exists' as "check", 'pass' as status, '' as detail, n as rows from o""")
 def val_columns(spark, sf):
     df = rows_only(spark, sf)
-    return cu.column_checks(df).crossJoin(df.agg(F.count("*").alias("rows")))
+    return cu.column_checks(df).withColumn("rows", df.agg(F.count("*").alias("n")).scalar())
 
 
 @query("val_min_samples", _L + _SIZE)

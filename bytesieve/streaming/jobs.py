@@ -127,8 +127,8 @@ def newest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def drop_expired(states: DataFrame, at: str = "saved_at", ttl_secs: int = rules.RESUME_TTL_SECS) -> DataFrame:
     """Keep states younger than the TTL, counted back from the newest one."""
-    newest = states.agg(F.max(at).alias("_now"))
-    return states.crossJoin(F.broadcast(newest)).where(F.col("_now") - F.col(at) < ttl_secs).drop("_now")
+    newest = states.agg(F.max(at).alias("now")).scalar()
+    return states.where(newest - F.col(at) < ttl_secs)
 
 
 # ------------------------------------------------------------ custom state

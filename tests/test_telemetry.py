@@ -92,6 +92,16 @@ def test_ordered_helpers_match_a_plain_loop(spark):
     assert sessions == want_s and changes == want_c
 
 
+def test_null_keys_and_orders_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 200_000_000, 6), (1, None, 7), (1, 3, 8)], "k int, t long, v int")
+    prev = {r.v: r.prev_v for r in O.with_previous(df, "k", ["t"], ["v"]).collect()}
+    assert prev == {5: None, 6: 5, 7: None, 8: 7}
+    sums = {r.v: r.s for r in O.with_running_sum(df, ["k"], [F.col("t")], {"s": F.col("v")}, F.floor(F.col("t") / 10)).collect()}
+    assert sums == {5: 5, 6: 11, 7: 7, 8: 15}
+    plan = O.with_previous(df, "k", ["t"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_cut_tree(spark):
     cuts = [1.0, 2.0, 5.0]
     df = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.5, 2.0, 4.9, 5.0, 9.0)], "x double")
