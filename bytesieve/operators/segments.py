@@ -289,6 +289,8 @@ def with_offsets(df: DataFrame, key: str = "stream_id", idx: str = "idx", data:
     """Byte offset of each segment in its stream's output.
 
     With offsets known, ordered output needs no task that holds a whole stream.
+    The input is read twice (bucket totals, rows): write costly inputs, such as
+    freshly filtered segments, to a table first.
     """
     out = O.with_running_sum(df, [key], [F.col(idx)], {"_end": F.octet_length(data).cast("long")},
                              F.floor(F.col(idx) / width))
