@@ -324,7 +324,7 @@ GIVEN = [
 
 
 # Derived tables whose rows cost much more to build and search than to move.
-CPU_BOUND = {"files", "ts_segments", "playlists", "masters", "labelled"}
+CPU_BOUND = {"files", "ts_segments", "playlists", "masters"}
 SMALL_SHARE = 64 * 1024 * 1024
 
 
