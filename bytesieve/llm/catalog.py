@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bytesieve.llm import op3_queries
+from bytesieve.llm import op1_queries, op3_queries, op4_queries
 
-MODULES = (op3_queries,)
+MODULES = (op1_queries, op3_queries, op4_queries)
 
 
 def queries() -> dict:

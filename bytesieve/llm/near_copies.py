@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from bytesieve.llm.components import components
 from bytesieve.llm.membership import bitmap, seen, slots
 from bytesieve.llm.tables import stored
-from bytesieve.llm.words import shingle_sets
+from bytesieve.llm.words import shingle_sets, slices
 
 SKETCH = "id long, n long, key binary, sketch array<long>"
 
@@ -38,7 +38,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) ->
     smallest hashes as signed numbers, in unsigned order)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             n, keys, lows = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
@@ -60,9 +60,9 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, width: int, wanted
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(seen(bits.value, batch.column(2).to_numpy(zero_copy_only=False))))
-            if batch.num_rows:
-                items = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
+            for part in slices(batch, 1):
+                items = [s.tobytes() for s in shingle_sets(part.column(1), width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),

@@ -63,12 +63,23 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, off - off[0]
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20):
+    """The batch in runs of rows of about `size` bytes of text, so that work arrays stay small; a longer row is a run of
+    its own."""
+    _, offsets = buffers(batch.column(column))
+    at, n = 0, batch.num_rows
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Where words start and end (exclusive) in the bytes; no word crosses a row."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = _SPACE[data]
+    inside = is_word[data]
     edge = np.ones(n + 1, bool)
     edge[1:n] = inside[1:] != inside[:-1]
     edge[offsets] = True
@@ -100,9 +111,9 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.nda
 class Words:
     """hashes, starts and ends of all words of a column, and where each row's words begin (rows + 1 values)."""
 
-    def __init__(self, column):
+    def __init__(self, column, is_word: np.ndarray = _SPACE):
         self.data, self.offsets = buffers(column)
-        self.starts, self.ends = bounds(self.data, self.offsets)
+        self.starts, self.ends = bounds(self.data, self.offsets, is_word)
         self.hashes = hashed(self.data, self.starts, self.ends)
         self.rows = np.searchsorted(self.starts, self.offsets)
 
