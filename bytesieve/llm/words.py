@@ -111,8 +111,14 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.nda
 class Words:
     """hashes, starts and ends of all words of a column, and where each row's words begin (rows + 1 values)."""
 
-    def __init__(self, column, is_word: np.ndarray = _SPACE):
+    def __init__(self, column, is_word: np.ndarray = _SPACE, accents: bool = False):
+        """accents: capital letters of Latin-1 count as small ones too."""
         self.data, self.offsets = buffers(column)
+        if accents and len(self.data):
+            at = np.flatnonzero(self.data[:-1] == 0xC3) + 1
+            at = at[(self.data[at] >= 0x80) & (self.data[at] <= 0x9E) & (self.data[at] != 0x97)]
+            self.data = self.data.copy()
+            self.data[at] += 0x20
         self.starts, self.ends = bounds(self.data, self.offsets, is_word)
         self.hashes = hashed(self.data, self.starts, self.ends)
         self.rows = np.searchsorted(self.starts, self.offsets)
