@@ -116,6 +116,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Setting
     return fit(labelled.training_rows(docs, labels, label, features, s.folds, s.rows), s)
 
 
+def _scores(column, weights: np.ndarray, bias: float, s: Settings) -> np.ndarray:
+    n = len(column)
+    total, count = np.zeros(n), np.zeros(n)
+    for row, bucket in subwords(column, s.bits, s.grams):
+        total += np.bincount(row, weights[bucket], n)
+        count += np.bincount(row, minlength=n)
+    return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))
+
+
 def scored(docs: DataFrame, model, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, held_out, score (probability of label 1), predicted (1 if score >= cut). A null or empty
     text has no features and gets the bias alone; null ids stay null; repeated rows are scored alike."""
@@ -124,12 +133,7 @@ def scored(docs: DataFrame, model, s: Settings = Settings(), id_col: str = "doc_
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2, 1 << 20)):
-            n = batch.num_rows
-            total, count = np.zeros(n), np.zeros(n)
-            for row, bucket in subwords(batch.column(2), s.bits, s.grams):
-                total += np.bincount(row, weights.value[bucket], n)
-                count += np.bincount(row, minlength=n)
-            score = 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))
+            score = _scores(batch.column(2), weights.value, bias, s)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= s.cut).astype(np.int32))],
                 names=[id_col, "held_out", "score", "predicted"])
@@ -138,3 +142,17 @@ def scored(docs: DataFrame, model, s: Settings = Settings(), id_col: str = "doc_
     return docs.select(F.col(id_col), labelled.held_out(id_col, s.folds).alias("held_out"),
                        F.col(text_col).cast("string").alias("text")).mapInArrow(
         of, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, model, s: Settings = Settings(), text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches the cut; null and empty texts are judged by the
+    bias alone."""
+    weights, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
+    where = docs.columns.index(text_col)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, where, 1 << 20)):
+            keep = _scores(batch.column(where), weights.value, bias, s) >= s.cut
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(of, docs.schema)
