@@ -207,7 +207,7 @@ class Splitter:
         return self._for(text).finditer(text)
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(shared) -> Encoder:
@@ -245,11 +245,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 n, a, b, written = 0, hashlib.sha256(), hashlib.sha256(), []
                 for run in own.pieces_of(text or "", split):
                     if run:
-                        joined, raw = zip(*run, strict=True)
-                        part = ",".join(joined)
+                        part = ",".join([p[0] for p in run])
                         a.update((("," if n else "") + part).encode())
-                        b.update(b"".join(raw))
-                        n += sum(sizes)
+                        b.update(b"".join([p[1] for p in run]))
+                        n += part.count(",") + 1
                         if with_ids:
                             written += map(int, part.split(","))
                 counts.append(n)

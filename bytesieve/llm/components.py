@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesieve.llm.tables import stored
+from bytesieve.llm.tables import Scratch, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,6 +16,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     their ends and keeps the links between different ends. At least half of the linked ids go per round, so rounds are
     logarithmic in the size of a component. Nothing is gathered: hubs are met by grouped minima and by joins that
     adaptive execution may split."""
+    with Scratch(links.sparkSession) as scratch:
+        return stored(_components(links, a, b, scratch.stored), "roots")
+
+
+def _components(links: DataFrame, a: str, b: str, stored) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     edges = stored(edges, "edges")
     known = None

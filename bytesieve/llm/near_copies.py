@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from bytesieve.llm.components import components
 from bytesieve.llm.membership import bitmap, seen, slots
-from bytesieve.llm.tables import stored
+from bytesieve.llm.tables import Scratch, stored, tasks
 from bytesieve.llm.words import shingle_sets, slices
 
 SKETCH = "id long, n long, key binary, sketch array<long>"
@@ -135,6 +135,8 @@ def rare_postings(items: DataFrame, percent: int) -> DataFrame:
                 names=["id", "v", "n"])
 
     every = items.select("id", "items").mapInArrow(of, "id long, v long, n long")
+    # one shuffle serves both the counts and their join
+    every = every.repartition(tasks(items.sparkSession), "v")
     df = every.groupBy("v").agg(F.count("*").alias("df"))
     rank = Window.partitionBy("id").orderBy("df", "v")
     ranked = every.join(df, "v").select(
@@ -195,6 +197,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of fewer words has its whole word sequence as the only shingle. A null, empty or blank text has n = 0 and is linked
     with nothing. Rows of equal sets are one class, whatever their number. Rows that repeat an id are one document with
     several texts. A row with a null id has component null and is kept. An empty table gives no rows."""
+    with Scratch(docs.sparkSession) as scratch:
+        return stored(_near_copies(docs, id_col, text_col, percent, width, k, listed, short, block, scratch.stored), "near")
+
+
+def _near_copies(docs, id_col, text_col, percent, width, k, listed, short, block, stored) -> DataFrame:
     made = stored(sketches(docs, id_col, text_col, k, width), "sketches")
     classes = made.where("id is not null and key is not null").groupBy("key").agg(
         F.min("id").alias("id"), F.min("n").alias("n"), F.count("*").alias("copies"))
