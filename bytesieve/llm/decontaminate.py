@@ -143,12 +143,16 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, s: Settings) -> tuple[int, i
         line = int(lines[k])
         a, b = max(0, line), min(len(doc), line + len(item))
         same = doc[a:b] == item[a - line:b - line]
-        # the stretch of largest sum of same - matched
+        # the longest stretch of which at least the share `matched` is equal: for each end the earliest fitting begin
         gain = np.concatenate([[0.0], np.cumsum(same - s.matched)])
-        floor = np.minimum.accumulate(gain)
-        end = int(np.argmax(gain - floor))
-        begin = int(np.argmin(gain[:end + 1]))
-        equal = int(same[begin:end].sum())
+        begins = np.searchsorted(-np.minimum.accumulate(gain), -gain - 1e-9)
+        end = int(np.argmax(np.arange(len(gain)) - begins))
+        begin = int(begins[end])
+        place = np.flatnonzero(same[begin:end])
+        if not len(place):
+            continue
+        begin, end = begin + int(place[0]), begin + int(place[-1]) + 1
+        equal = len(place)
         if equal > best[2]:
             best = (a + begin, a + end, equal)
     return best
