@@ -20,12 +20,12 @@ def held_out(id_col: str, folds: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, features: Features, folds: int,
-                  rows: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, features: Features, folds: int, rows: int,
+                  with_values: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(label, buckets, values) of at most `rows` labelled documents outside the held-out fold. With more labels than
     that the rows of smallest hashed id are taken: a uniform choice that no partitioning changes. A null or other label
     than 0 and 1 is none. Features are made where the texts are; the driver gets the bounded sample's sparse rows, each
-    no longer than the number of buckets."""
+    no longer than the number of buckets; values only where asked for."""
     chosen = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds))
               .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
@@ -39,7 +39,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, features: Feat
             pick = [slice(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(2), batch.column(0), pa.array([bucket[s].astype(np.int32).tobytes() for s in pick], pa.binary()),
-                 pa.array([value[s].astype(np.float32).tobytes() for s in pick], pa.binary())],
+                 pa.array([value[s].astype(np.float32).tobytes() if with_values else b"" for s in pick], pa.binary())],
                 names=["doc_id", "y", "buckets", "vals"])
 
     made = texts.mapInArrow(of, "doc_id long, y int, buckets binary, vals binary").toArrow()

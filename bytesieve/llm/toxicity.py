@@ -32,7 +32,7 @@ class Settings:
     l1: float = 12.0
     l2: float = 0.5
     epochs: int = 3
-    rows: int = 20000
+    rows: int = 12000
     folds: int = 5
     cut: float = 0.5
 
@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings
         row, bucket = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         return labelled.summed(row, bucket, len(column), 1 << s.bits)
 
-    return fit(labelled.training_rows(docs, labels, label, features, s.folds, s.rows), s)
+    return fit(labelled.training_rows(docs, labels, label, features, s.folds, s.rows, False), s)
 
 
 def scored(docs: DataFrame, model, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
