@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = session.build("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "bytesieve.input.partitions": cpus,
     })
     spark.sparkContext.setLogLevel("ERROR")
     known = catalog.queries()

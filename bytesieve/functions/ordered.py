@@ -26,6 +26,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(named, on, how).drop(*["_r" + k for k in keys])
 
 
+def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
+    """Join a one-row-per-key table onto many rows per key.
+
+    The narrow side is copied per salt and the wide side spread over the salts by ``spread_by``, so a key with a third
+    of all rows is joined by many tasks.  There are as many salts as a key could need to reach every shuffle partition.
+    """
+    salts = max(2, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return null_safe_join(big.withColumn("_salt", salt), copies, [*keys, "_salt"]).drop("_salt")
+
+
 def _grouped(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
     """Add ``_g`` (the keys as a struct, so NULL keys join too) and ``_b`` (never NULL).
 

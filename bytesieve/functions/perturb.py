@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ class _Batch:
 
     def __init__(self, lists: pa.Array, keys: pa.Array):
         self.lengths = np.diff(np.asarray(lists.offsets, dtype=np.int64))
+        self.absent = np.asarray(lists.is_null())
         self.x = np.asarray(lists.flatten().cast(pa.float64()), dtype=np.float64)
         self.rows = np.repeat(np.arange(len(lists)), self.lengths)
         first = np.cumsum(self.lengths) - self.lengths
@@ -67,7 +69,8 @@ class _Batch:
 
     def lists(self, x) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.float32)))
+        made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.float32)))
+        return pa.compute.if_else(pa.array(self.absent), None, made) if self.absent.any() else made
 
 
 def augmented(features: Column, key: Column, strategy: Column, noise_level: float = rules.NOISE_LEVEL) -> Column:
@@ -77,13 +80,15 @@ def augmented(features: Column, key: Column, strategy: Column, noise_level: floa
     def run(lists: pa.Array, keys: pa.Array, names: pa.Array) -> pa.Array:
         b = _Batch(lists, keys)
         name = np.asarray(names.to_pylist(), dtype=object)[b.rows]
-        noisy = b.noise(b.x, noise_level)
         out = b.x.copy()
-        for label, value in (
-            ("noise", noisy), ("dropout", b.dropout(b.x, rules.DROPOUT_RATE)), ("shift", b.shift(b.x)),
-            ("scale", b.scale(b.x)), ("combined", b.dropout(noisy, rules.DROPOUT_RATE)),
+        for label, change in (
+            ("noise", lambda: b.noise(b.x, noise_level)), ("dropout", lambda: b.dropout(b.x, rules.DROPOUT_RATE)),
+            ("shift", lambda: b.shift(b.x)), ("scale", lambda: b.scale(b.x)),
+            ("combined", lambda: b.dropout(b.noise(b.x, noise_level), rules.DROPOUT_RATE)),
         ):
-            out = np.where(name == label, value, out)
+            mine = name == label
+            if mine.any():
+                out = np.where(mine, change(), out)
         return b.lists(np.clip(out, 0.0, 1.0))
 
     return run(features, key, strategy)

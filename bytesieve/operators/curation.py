@@ -11,8 +11,8 @@ from bytesieve import rules
 from bytesieve.functions import ordered as O
 from bytesieve.functions import perturb
 
-MAX_CLASSES = 1000
 ORDER_BUCKETS = 4096
+PIECE = 1 << 16
 
 
 # ------------------------------------------------------------ column choice
@@ -33,20 +33,9 @@ def as_array(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
     return df.select(*rest, F.array(*[F.col(c).cast("double") for c in columns]).alias(out))
 
 
-def class_sizes(df: DataFrame, label: str = "label") -> list[tuple[int, int]]:
-    """(label, rows) per class on the driver; at most MAX_CLASSES classes."""
-    rows = df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return [(r[0], r["n"]) for r in rows]
-
-
-def by_class(label: Column, values: dict) -> Column:
-    """Per-class constant as a CASE over the label."""
-    out = F.lit(None)
-    for k, v in values.items():
-        out = F.when(label.eqNullSafe(F.lit(k)), F.lit(v)).otherwise(out)
-    return out
+def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:
+    """Rows per class, however many classes there are."""
+    return df.groupBy(label).agg(F.count("*").alias("class_rows"))
 
 
 # ------------------------------------------------------------ checks
@@ -76,20 +65,24 @@ def profile(df: DataFrame, features: str | None = "features", label: str = "labe
     src = df if features else as_array(df, validator_columns(df))
     arr = F.col(features or "features")
     extra = len([c for c in src.columns if c not in (features or "features", *keys)])
-    missing = F.size(F.filter(arr, lambda x: x.isNull() | F.isnan(x)))
+    missing = F.coalesce(F.size(F.filter(arr, lambda x: x.isNull() | F.isnan(x))), F.lit(0))
     for c in src.columns:
         if c not in (features or "features", *keys):
             missing = missing + F.col(c).isNull().cast("int")
     seen = F.filter(arr, lambda x: x.isNotNull() & ~F.isnan(x))
     return src.groupBy(*keys, label).agg(
-        F.count("*").alias("n"), F.sum(missing).alias("missing"), F.sum(F.size(arr) + extra).alias("cells"),
+        F.count("*").alias("n"), F.sum(missing).alias("missing"), F.sum(F.coalesce(F.size(arr), F.lit(0)) + extra).alias("cells"),
+        F.count(F.when(arr.isNull(), 1)).alias("absent"), F.max(F.size(arr)).alias("width"),
         F.min(F.array_min(seen)).alias("low"), F.max(F.array_max(seen)).alias("high"))
 
 
 def _overall(prof: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
     bad = F.when(~F.coalesce(F.col(label).isin(rules.VALID_LABELS), F.lit(False)), F.col(label).cast("string"))
     return prof.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("missing").alias("missing"), F.sum("cells").alias("cells"),
+        F.sum("n").alias("n"),
+        # a NULL vector lacks as many cells as the others have
+        (F.sum("missing") + F.sum("absent") * F.coalesce(F.max("width"), F.lit(0))).alias("missing"),
+        (F.sum("cells") + F.sum("absent") * F.coalesce(F.max("width"), F.lit(0))).alias("cells"),
         F.min("low").alias("low"), F.max("high").alias("high"),
         F.max("n").alias("largest"), F.min("n").alias("smallest"), F.count("*").alias("classes"),
         F.array_join(F.sort_array(F.collect_set(F.col(label).cast("string"))), ", ").alias("labels"),
@@ -141,7 +134,7 @@ def range_checks(o: DataFrame, keys: list[str] = ()) -> DataFrame:
     four = lambda c: _fmt("%.4f", F.bround(F.col(c), 4))
     under, over = F.col("low") < low, F.col("high") > high
     none = F.col("low").isNull()
-    rows = F.when(none, F.array(_row("Feature columns", F.lit("warning"), F.lit("No feature values found")))).otherwise(F.array(
+    rows = F.when(none, F.array(_row("Feature columns", F.lit("warning"), F.lit("No columns starting with 'f_' found")))).otherwise(F.array(
         _row("Feature range minimum", _status(under, "warning"), F.when(
             under, F.concat(F.lit("Min value "), four("low"), F.lit(" below expected 0.0"))).otherwise(
             F.concat(F.lit("Min: "), four("low")))),
@@ -154,13 +147,14 @@ def range_checks(o: DataFrame, keys: list[str] = ()) -> DataFrame:
 def duplicate_counts(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Rows and full-row repeats.
 
-    Rows are compared by a 128-bit hash of all their columns, so the shuffle
-    carries 16 bytes per row, and repeats collapse before it.
+    Rows are compared by a 128-bit hash of an encoding that tells NULL from a
+    value and one array from the next, so the shuffle carries 16 bytes per row,
+    and repeats collapse before it.
     """
     cols = [c for c in df.columns if c not in keys]
     return (
-        df.select(*keys, F.xxhash64(*cols).alias("_a"), F.xxhash64(F.lit(1), *cols).alias("_b"))
-        .groupBy(*keys, "_a", "_b").agg(F.count("*").alias("n"))
+        df.select(*keys, F.unhex(F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).cast("binary"))).alias("_h"))
+        .groupBy(*keys, "_h").agg(F.count("*").alias("n"))
         .groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("duplicates"))
     )
 
@@ -199,13 +193,15 @@ def is_valid(checks: DataFrame, keys: list[str] = ()) -> DataFrame:
     return checks.groupBy(*keys).agg(F.bool_and(F.col("status") != "error").alias("is_valid"))
 
 
-def dataset_stats(df: DataFrame, feature_count: int, column_count: int, label: str = "label") -> DataFrame:
+def dataset_stats(df: DataFrame, feature_count, column_count, label: str = "label") -> DataFrame:
+    """Counts of rows, columns and classes; the two widths are numbers or scalar columns."""
+    number = lambda v: v if isinstance(v, Column) else F.lit(v)
     c = lambda v: F.count(F.when(F.col(label) == v, 1))
     s = df.agg(F.count("*").alias("total_samples"), c(0).alias("benign_count"), c(1).alias("malicious_count"))
     return s.select(
-        "total_samples", F.lit(column_count).alias("total_columns"), "benign_count", "malicious_count",
+        "total_samples", number(column_count).alias("total_columns"), "benign_count", "malicious_count",
         F.bround(F.col("malicious_count") / F.nullif("benign_count", F.lit(0)), 3).alias("imbalance_ratio"),
-        F.lit(feature_count).alias("feature_count"))
+        number(feature_count).alias("feature_count"))
 
 
 def validate_matrix(x: DataFrame, y: DataFrame, key: str = "id", minimum: int = rules.MIN_SAMPLES) -> DataFrame:
@@ -304,12 +300,12 @@ def split_stratified(df: DataFrame, ids: list[str], label: str = "label", key: C
     _check_ratios(ratios)
     k = shuffle_key(*ids, seed=seed) if key is None else key
     ranked = with_position(df, ids, k, unit_bucket() if bucket is None else bucket, [label])
-    sizes = dict(class_sizes(df, label))
-    n = by_class(F.col(label), sizes)
+    ranked = O.lookup(ranked, class_sizes(df, label), [label], ["position"])
+    n = F.col("class_rows")
     train, val = F.round(n * ratios[0]), F.round(n * (ratios[0] + ratios[1]))
     return ranked.withColumn(
         "split", F.when(F.col("position") <= train, "train").when(F.col("position") <= val, "val").otherwise("test")
-    ).drop("position")
+    ).drop("position", "class_rows")
 
 
 def _check_ratios(ratios) -> None:
@@ -358,24 +354,29 @@ def with_train_noise(df: DataFrame, ids: list[str], features: str = "features",
 def oversample(df: DataFrame, ids: list[str], label: str = "label", *, seed: int = 42) -> DataFrame:
     """Grow every class to the largest one by sampling with replacement.
 
-    Each row of a class draws its even share of the class's extra picks, so the
-    draws are spread over all tasks; picks then meet the rows they drew on
-    (class, position), which no class size can skew.
+    Each row of a class draws its even share of the class's extra picks, in
+    pieces of bounded length, so draws are spread over all tasks even where one
+    row must fill a large class.  Draws are counted per (class, position)
+    before they are shuffled and meet each row once.
     """
-    sizes = dict(class_sizes(df, label))
-    largest = max(sizes.values(), default=0)
-    need = {k: largest - n for k, n in sizes.items()}
-    ranked = with_position(df, ids, shuffle_key(*ids, seed=seed), unit_bucket(), [label])
-    n = by_class(F.col(label), sizes).cast("long")
-    extra = by_class(F.col(label), need).cast("long")
+    sizes = class_sizes(df, label)
+    largest = sizes.agg(F.max("class_rows").alias("n")).scalar()
+    ranked = O.lookup(with_position(df, ids, shuffle_key(*ids, seed=seed), unit_bucket(), [label]), sizes, [label], ["position"])
+    n, extra = F.col("class_rows"), largest - F.col("class_rows")
     first = F.floor((F.col("position") - 1) * extra / n)
     last = F.floor(F.col("position") * extra / n)
-    draws = (
-        ranked.select(label, F.when(last > first, F.sequence(first + 1, last)).alias("_js"))
-        .select(label, F.explode("_js").alias("_j"))
-        .select(label, (F.floor(O.hash_unit(F.col(label), F.col("_j"), seed=seed) * n) + 1).alias("position"))
-    )
-    drawn = ranked.join(draws, [label, "position"]).drop("position")
+    # a row of a rare class draws very often: its draws are numbered in pieces, each exploded in a task of its own
+    pieces = (ranked.where(last > first).select(label, "class_rows", first.alias("_from"), last.alias("_to"))
+              .select(label, "class_rows", "_to", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1, F.lit(PIECE))).alias("_from"))
+              .repartition(label, "_from"))
+    draws = pieces.select(label, "class_rows", F.explode(F.sequence(
+        F.col("_from") + 1, F.least(F.col("_from") + PIECE, F.col("_to")))).alias("_j"))
+    position = (F.floor(O.hash_unit(F.col(label), F.col("_j"), seed=seed) * F.col("class_rows")) + 1).alias("position")
+    # how often each row was drawn, summed before it is shuffled; then repeated in pieces
+    times = draws.select(label, position).groupBy(label, "position").agg(F.count("*").alias("_times"))
+    drawn = O.null_safe_join(ranked.drop("class_rows"), times, [label, "position"])
+    drawn = drawn.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(PIECE))))
+    drawn = drawn.withColumn("_copy", F.explode(F.sequence(F.col("_piece"), F.least(F.col("_piece") + PIECE, F.col("_times")) - 1)))
     return df.withColumn("oversampled", F.lit(False)).unionByName(
         drawn.select(*df.columns, F.lit(True).alias("oversampled")))
 

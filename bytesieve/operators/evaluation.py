@@ -132,7 +132,7 @@ def average_precision(df: DataFrame, **kw) -> DataFrame:
     """Step-wise area under precision/recall."""
     c = threshold_counts(df, **kw)
     return c.agg(_div(
-        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos")).alias("average_precision"))
+        F.sum(_div(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("average_precision"))
 
 
 def best_threshold(df: DataFrame, **kw) -> DataFrame:

@@ -15,10 +15,8 @@ from bytesieve.operators import curation
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     """Add rows / (classes * class rows) as a constant per class."""
-    sizes = curation.class_sizes(df, label)
-    total, classes = sum(n for _, n in sizes), max(k for k, _ in sizes) + 1
-    weights = {k: total / (classes * n) for k, n in sizes}
-    return df.withColumn("weight", curation.by_class(F.col(label), weights))
+    weights = curation.class_weights(df, label).select(F.col("label").cast(df.schema[label].dataType).alias(label), "weight")
+    return O.lookup(df, weights, [label], [c for c in df.columns if c != label])
 
 
 def train(df: DataFrame, features: str = "features", label: str = "label", *, model: str = "logistic",

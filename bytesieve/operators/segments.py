@@ -12,8 +12,7 @@ from bytesieve.operators import dims
 
 Rule = rules.FilterRule
 DEFAULT = rules.FILTER_RULES
-MAX_RULES = 60
-SALTS = 16
+WORD_RULES = 62  # rules per 64-bit mask
 
 
 # ------------------------------------------------------------ stream kinds
@@ -48,39 +47,37 @@ def track_decisions(tracks: DataFrame, kind: str = "track_kind") -> DataFrame:
 
 def rules_from(df: DataFrame) -> list[Rule]:
     """User rules from a (name, pattern, severity, action) table, in ``ord`` order."""
-    rows = df.orderBy("ord").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    return [Rule(r["name"], bytes(r["pattern"]), r["severity"], r["action"]) for r in rows]
+    return [Rule(r["name"], bytes(r["pattern"]), r["severity"], r["action"]) for r in df.orderBy("ord").collect()]
 
 
 def _active(rule_set: list[Rule]) -> list[Rule]:
     return [r for r in rule_set if r.pattern]  # an empty pattern never matches
 
 
-def rule_mask(data: Column, rule_set: list[Rule] = DEFAULT) -> Column:
-    """Rules present in the bytes, one bit each."""
-    out = F.lit(0).cast("long")
-    for i, r in enumerate(_active(rule_set)):
-        out = out.bitwiseOR(F.when(B.has(data, r.pattern), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+def _masks(data: Column, active: list[Rule]) -> dict[str, Column]:
+    """Rules present in the bytes, one bit each, in as many words as the rules need."""
+    out = {}
+    for low in range(0, max(1, len(active)), WORD_RULES):
+        word = F.lit(0).cast("long")
+        for i, r in enumerate(active[low:low + WORD_RULES]):
+            word = word.bitwiseOR(F.when(B.has(data, r.pattern), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        out[f"_mask{low // WORD_RULES}"] = word
     return out
 
 
-def rule_names(mask: Column, rule_set: list[Rule] = DEFAULT) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(r.name)) for i, r in enumerate(_active(rule_set))]))
-
-
 def with_rule_hits(df: DataFrame, rule_set: list[Rule] = DEFAULT, data: str = "data") -> DataFrame:
-    staged = df.withColumn("_mask", rule_mask(F.col(data), rule_set))
-    return staged.withColumn("rule_hits", rule_names(F.col("_mask"), rule_set)).drop("_mask")
+    active = _active(rule_set)
+    masks = _masks(F.col(data), active)
+    hits = [F.when(F.getbit(f"_mask{i // WORD_RULES}", F.lit(i % WORD_RULES)) == 1, F.lit(r.name)) for i, r in enumerate(active)]
+    named = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    return df.withColumns(masks).withColumn("rule_hits", named).drop(*masks)
 
 
 def rule_hit_counts(df: DataFrame, rule_set: list[Rule] = DEFAULT, data: str = "data") -> DataFrame:
     """Segments per triggered rule: counted as bit sums in one scan."""
     active = _active(rule_set)
-    one = df.select(rule_mask(F.col(data), active).alias("m")).agg(
-        *[F.sum(F.getbit("m", F.lit(i)).cast("long")).alias(f"r{i}") for i in range(len(active))])
+    one = df.select(*[m.alias(n) for n, m in _masks(F.col(data), active).items()]).agg(*[
+        F.sum(F.getbit(f"_mask{i // WORD_RULES}", F.lit(i % WORD_RULES)).cast("long")).alias(f"r{i}") for i in range(len(active))])
     rows = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"),
                               F.col(f"r{i}").alias("segments")) for i, r in enumerate(active)])
     return one.select(F.inline(rows)).where("segments > 0")
@@ -240,15 +237,15 @@ def ts_repaired(data: Column, rule_set: list[Rule] = DEFAULT) -> Column:
 
 # ------------------------------------------------------------ order
 
-def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
-    """Join a one-row-per-key table onto many rows per key.
+lookup = O.lookup
 
-    The narrow side is copied per salt and the wide side spread over the salts,
-    so a key with a third of all rows is joined by many tasks.
-    """
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys]), F.lit(salts)).cast("int")
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return O.null_safe_join(big.withColumn("_salt", spread), copies, [*keys, "_salt"]).drop("_salt")
+
+def arrivals(df: DataFrame, key: str = "stream_id", idx: str = "idx", order: list[str] = ()) -> DataFrame:
+    """One row per (stream, index): the first by ``order``, by content where that ties or is not given; a repeated
+    segment is ignored."""
+    rest = [c for c in df.columns if c not in (key, idx)]
+    by = F.struct(*[F.col(c) for c in (*order, *rest)])
+    return df.groupBy(key, idx).agg(F.min_by(F.struct(*rest), by).alias("_v")).select(key, idx, "_v.*").select(df.columns)
 
 
 def first_gaps(df: DataFrame, key: str = "stream_id", idx: str = "idx") -> DataFrame:
@@ -267,50 +264,49 @@ def first_gaps(df: DataFrame, key: str = "stream_id", idx: str = "idx") -> DataF
 
 def reassemble(df: DataFrame, key: str = "stream_id", idx: str = "idx",
                max_waiting: int = rules.MAX_BUFFERED_SEGMENTS) -> DataFrame:
-    """Status per segment: written (before the first gap) or waiting."""
-    out = lookup(df, first_gaps(df, key, idx), [key])
+    """Status per segment: written (before the first gap) or waiting.  Give it narrow rows: no bytes are needed."""
+    out = lookup(df, first_gaps(df, key, idx), [key], [idx])
     return out.withColumn("state", F.when(F.col(idx) < F.col("next_idx"), "written").otherwise("waiting"))
 
 
 def reassembly_summary(df: DataFrame, key: str = "stream_id", idx: str = "idx",
                        max_waiting: int = rules.MAX_BUFFERED_SEGMENTS) -> DataFrame:
     """Per stream: contiguous length, bytes released, waiting segments, overflow."""
-    s = reassemble(df, key, idx)
+    narrow = df.select(key, idx, F.octet_length("data").cast("long").alias("length"))
+    s = reassemble(arrivals(narrow, key, idx), key, idx)
     wrote = F.col("state") == "written"
     return s.groupBy(key).agg(
         F.max("next_idx").alias("next_idx"), F.count(F.when(wrote, 1)).alias("written"),
-        F.sum(F.when(wrote, F.octet_length("data")).otherwise(0)).cast("long").alias("bytes_written"),
+        F.sum(F.when(wrote, F.col("length")).otherwise(0)).cast("long").alias("bytes_written"),
         F.count(F.when(~wrote, 1)).alias("waiting"),
         (F.count(F.when(~wrote, 1)) > max_waiting).alias("overflow"))
 
 
-def with_offsets(df: DataFrame, key: str = "stream_id", idx: str = "idx", data: str = "data",
+def with_offsets(df: DataFrame, key: str = "stream_id", idx: str = "idx", length: str = "length",
                  width: int = 256) -> DataFrame:
-    """Byte offset of each segment in its stream's output.
+    """Byte offset of each segment in its stream's output, from narrow rows of (stream, index, length).
 
     With offsets known, ordered output needs no task that holds a whole stream.
-    The input is read twice (bucket totals, rows): write costly inputs, such as
-    freshly filtered segments, to a table first.
     """
-    out = O.with_running_sum(df, [key], [F.col(idx)], {"_end": F.octet_length(data).cast("long")},
-                             F.floor(F.col(idx) / width))
-    size = F.octet_length(data).cast("long")
-    return out.withColumn("offset", F.col("_end") - size).withColumn("length", size).drop("_end")
+    out = O.with_running_sum(df, [key], [F.col(idx)], {"_end": F.col(length)}, F.floor(F.col(idx) / width))
+    return out.withColumn("offset", F.col("_end") - F.col(length)).drop("_end")
 
 
-def small_stream_bytes(df: DataFrame, key: str = "stream_id", idx: str = "idx", data: str = "data",
-                       limit: int = 16 * 1024 * 1024) -> DataFrame:
-    """Concatenated bytes of streams whose total size is at most ``limit``.
+def placed(df: DataFrame, key: str = "stream_id", idx: str = "idx", data: str = "data") -> DataFrame:
+    """Segments with ``length`` and ``offset``; the bytes meet the offsets in one join and no window.  The input is
+    read twice: write freshly filtered segments to a table first.  Repeated segments must be gone (``arrivals``)."""
+    sized = df.select(key, idx, F.octet_length(data).cast("long").alias("length"))
+    return O.null_safe_join(df, with_offsets(sized, key, idx), [key, idx])
 
-    Larger streams are left to :func:`with_offsets`; the size is checked before
-    any stream is gathered.
-    """
-    sizes = df.groupBy(key).agg(F.sum(F.octet_length(data)).alias("bytes"))
-    small = sizes.where(F.col("bytes") <= limit).select(key)
-    kept = lookup(df.select(key, idx, data), small, [key])
-    parts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(idx, data))).alias("_p"))
-    text = F.array_join(F.transform("_p", lambda p: B.latin1(p[data])), "")
-    return parts.select(key, B.from_latin1(text).alias("bytes"))
+
+def stream_digests(df: DataFrame, key: str = "stream_id", idx: str = "idx", data: str = "data") -> DataFrame:
+    """Per stream, whatever its size: bytes, parts, and a digest of its ordered output that parts add up to: the sum
+    of 32 bits of md5(offset, md5 of the part)."""
+    sized = df.select(key, idx, F.octet_length(data).cast("long").alias("length"), F.md5(data).alias("part"))
+    at = with_offsets(sized, key, idx)
+    word = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("offset").cast("string"), "part").cast("binary")), 1, 8), 16, 10)
+    return at.groupBy(key).agg(F.sum("length").alias("bytes"), F.count("*").alias("parts"),
+                               F.sum(word.cast("long")).alias("digest"))
 
 
 def ordered_rows(df: DataFrame, key: str = "stream_id", idx: str = "idx") -> DataFrame:

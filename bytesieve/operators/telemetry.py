@@ -52,7 +52,7 @@ def with_status_facts(df: DataFrame) -> DataFrame:
 def status_timeline(log: DataFrame, key: str = "task_id", ts: str = "ts_us") -> DataFrame:
     """Current state per task from its transition log; the last write wins."""
     s, t = F.col("status"), F.col(ts)
-    last = lambda v, *states: F.max_by(F.when(s.isin(*states), F.col(v)), F.when(s.isin(*states), t))
+    last = lambda v, *states: F.max_by(F.when(s.isin(*states), F.col(v)), F.when(s.isin(*states), F.struct(ts, "event_id")))
     return log.groupBy(key).agg(
         F.max_by("status", F.struct(ts, "event_id")).alias("status"),
         F.max(F.when(s == "Downloading", t)).alias("started_us"),

@@ -7,6 +7,7 @@ aggregates.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,7 +135,7 @@ def double_extension(path: Column) -> Column:
 
 def clean_url(url: Column, keys: list[str] | None = None) -> Column:
     """Drop tracking parameters, keep every other parameter and the fragment."""
-    names = "|".join(rules.TRACKING_PARAMETERS if keys is None else keys)
+    names = "|".join(re.escape(k) for k in (rules.TRACKING_PARAMETERS if keys is None else keys))
     base = F.regexp_extract(url, r"^([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     fragment = F.regexp_extract(url, r"(#.*)$", 1)

@@ -120,7 +120,9 @@ def val_duplicates(spark, sf):
   sum(n) filter (label = 1)::bigint as malicious_count,
   round(sum(n) filter (label = 1) / sum(n) filter (label = 0)::double, 3) as imbalance_ratio, 64 as feature_count from c""")
 def val_stats(spark, sf):
-    return cu.dataset_stats(rows_only(spark, sf), feature_count=64, column_count=65)
+    df = rows_only(spark, sf)
+    width = df.agg(F.max(F.size("features"))).scalar()
+    return cu.dataset_stats(df, feature_count=width, column_count=width + len(df.columns) - 1)
 
 
 @query("val_matrix", _L + """select 'Shape match' as "check", 'pass' as status, concat('X ', n, ', y ', n) as detail from o
@@ -210,10 +212,16 @@ def _bounds(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.size("features").cast("long").alias("width"), inside.alias("in_range"))
 
 
-@query("augment", _L + """select id, g.copy::int as copy, g.copy > 0 as augmented, 64::bigint as width, true as in_range
+@query("augment", _L + """select id, g.copy::int as copy, g.copy > 0 as augmented, 64::bigint as width, true as in_range, true as effective
   from labelled, generate_series(0, 3) g(copy)""")
 def augment(spark, sf):
-    return _bounds(cu.augment(clean(spark, sf), ["id"]), "id", "copy", "augmented")
+    """Originals as they were, and copies of which nearly all differ from them."""
+    base = clean(spark, sf)
+    out = cu.augment(base, ["id"]).join(base.select("id", F.col("features").alias("was")), "id")
+    out = out.withColumn("diff", F.zip_with("features", "was", lambda a, b: a.cast("double") - b))
+    moved = F.avg(F.when(F.col("augmented"), _moved().cast("double")))
+    kept = F.max(F.when(~F.col("augmented"), _moved().cast("int"))) == 0
+    return _bounds(out, "id", "copy", "augmented").withColumn("effective", out.agg(kept & (moved > 0.8)).scalar())
 
 
 @query("augment_strategies")
@@ -225,10 +233,63 @@ def augment_strategies(spark, sf):
     return out.groupBy("strategy").agg(F.count("*").alias("copies"), F.round(F.avg(change), 6).alias("mean_change"))
 
 
+def _lawful(out: DataFrame, base: DataFrame, law, effect) -> DataFrame:
+    """Per row: width, range, whether each change obeys the strategy; and whether the changes of all rows together have
+    the size they should, which leaving the values alone has not."""
+    both = out.select("id", F.transform("features", lambda x: x.cast("double")).alias("features")).join(
+        base.select("id", F.col("features").alias("was")), "id")
+    both = both.withColumn("diff", F.zip_with("features", "was", lambda a, b: a - b))
+    ok = both.agg(effect).scalar()
+    inside = (F.array_min("features") >= 0) & (F.array_max("features") <= 1)
+    return both.select("id", F.size("features").cast("long").alias("width"), inside.alias("in_range"),
+                       law.alias("lawful"), ok.alias("effective"))
+
+
+_TWIN = _L + "select id, 64::bigint as width, true as in_range, true as lawful, true as effective from labelled"
+_SAME = 1e-5
+
+
+def _moved():
+    return F.exists("diff", lambda d: F.abs(d) > _SAME)
+
+
+def _share_moved():
+    return F.avg(_moved().cast("double"))
+
+
+def _spread(values, least: float):
+    return F.coalesce(F.array_max(values) - F.array_min(values) < least, F.lit(True))
+
+
+def _total(per_row):
+    return F.sum(F.aggregate(per_row, F.lit(0.0), lambda a, x: a + x))
+
+
+def _law(strategy: str):
+    """(law per row, effect over all rows) of a strategy."""
+    free = F.filter(F.arrays_zip("features", "was", "diff"),
+                    lambda z: (z["features"] > 0) & (z["features"] < 1) & (z["was"] > 0.01))
+    if strategy == "noise":
+        squares = _total(F.transform(free, lambda z: z["diff"] * z["diff"]))
+        return (~F.exists("diff", lambda d: F.abs(d) > 0.4),
+                F.sqrt(squares / F.sum(F.size(free))).between(0.03, 0.06) & (_share_moved() > 0.99))
+    if strategy == "dropout":
+        gone = F.sum(F.size(F.filter("diff", lambda d: d < -_SAME))) / F.sum(F.size(F.filter("was", lambda w: w > _SAME)))
+        return (~F.exists(F.arrays_zip("features", "diff"), lambda z: (z["features"] != 0) & (F.abs(z["diff"]) > _SAME)),
+                gone.between(0.02, 0.09))
+    if strategy == "shift":
+        steps = F.transform(free, lambda z: z["diff"] * 255)
+        whole = ~F.exists(steps, lambda x: (F.abs(x - F.round(x)) > 0.01) | (F.abs(x) > 8.01))
+        return _spread(steps, 0.01) & whole, _share_moved() > 0.7
+    ratios = F.transform(free, lambda z: z["features"] / z["was"])
+    return _spread(ratios, 1e-3) & ~F.exists(ratios, lambda x: (x < 0.949) | (x > 1.051)), _share_moved() > 0.9
+
+
 def _strategy_query(name: str, strategy: str):
-    @query(name, _L + "select id, 64::bigint as width, true as in_range from labelled")
+    @query(name, _TWIN)
     def run(spark, sf):
-        return _bounds(cu.with_strategy(clean(spark, sf), ["id"], strategy), "id")
+        base = clean(spark, sf)
+        return _lawful(cu.with_strategy(base, ["id"], strategy), base, *_law(strategy))
     return run
 
 
@@ -236,12 +297,13 @@ for _n, _s in (("aug_noise", "noise"), ("aug_dropout", "dropout"), ("aug_shift",
     _strategy_query(_n, _s)
 
 
-@query("aug_partial_shuffle", _L + "select id, 64::bigint as width, round(list_sum(f), 3) as total from s")
+@query("aug_partial_shuffle", _TWIN)
 def aug_partial_shuffle(spark, sf):
-    """Permuting positions keeps each vector's sum."""
-    df = cu.with_partial_shuffle(clean(spark, sf), ["id"])
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
-    return df.select("id", F.size("features").cast("long").alias("width"), F.round(total, 3).alias("total"))
+    """The same values at other places, and not at more than a tenth of them."""
+    base = clean(spark, sf)
+    moved = F.size(F.filter("diff", lambda d: F.abs(d) > _SAME))
+    same = F.forall(F.zip_with(F.array_sort("features"), F.array_sort("was"), lambda a, b: F.abs(a - b)), lambda d: d < _SAME)
+    return _lawful(cu.with_partial_shuffle(base, ["id"]), base, same & (moved <= 6), F.avg((moved > 0).cast("double")) > 0.5)
 
 
 @query("balance_oversample", _L + """select label, (select max(n) from c) as rows, n as originals from c""")
@@ -255,9 +317,11 @@ def aug_stats(spark, sf):
     return cu.augmentation_stats(labelled(spark, sf))
 
 
-@query("tf_noise_dropout", _L + "select id, 64::bigint as width, true as in_range from labelled")
+@query("tf_noise_dropout", _TWIN)
 def tf_noise_dropout(spark, sf):
-    return _bounds(cu.with_train_noise(clean(spark, sf), ["id"]), "id")
+    base = clean(spark, sf)
+    small = ~F.exists(F.arrays_zip("features", "diff"), lambda z: (z["features"] != 0) & (F.abs(z["diff"]) > 0.1))
+    return _lawful(cu.with_train_noise(base, ["id"]), base, small, _share_moved().between(0.4, 0.85))
 
 
 @query("tf_normalize", _L + """, u as (select id, unnest(f) as x, unnest(generate_series(1, 64)) as i from s),

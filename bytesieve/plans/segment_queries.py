@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bytesieve import rules
+from bytesieve import rules, session
 from bytesieve.functions import bytesx as B
 from bytesieve.operators import playlists as pl
 from bytesieve.operators import segments as sg
@@ -222,8 +222,11 @@ _HLS = SEG + """, h as (select *, blocked_by is null as ok, case when blocked_by
   md5({_blob('rx')}) as digest from h where ok""")
 def clean_stream_hls(spark, sf):
     """Clean segments with their place in the output file."""
-    clean = sg.filter_segments(segs(spark, sf)).where("is_clean").select("stream_id", "idx", F.col("clean_data").alias("data"))
-    return sg.with_offsets(clean).select("stream_id", "idx", "length", "offset", digest(F.col("data")).alias("digest"))
+    clean = sg.filter_segments(segs(spark, sf)).where("is_clean").select(
+        "stream_id", "idx", F.octet_length("clean_data").cast("long").alias("length"), digest(F.col("clean_data")).alias("digest"))
+    path = session.new_path(spark, "clean")
+    clean.write.parquet(path)  # the rules run once
+    return sg.with_offsets(spark.read.schema(clean.schema).parquet(path)).select("stream_id", "idx", "length", "offset", "digest")
 
 
 @query("stream_stats", _HLS + """select stream_id, count(*) as total_segments, count(*) filter (ok) as clean_segments,
@@ -273,7 +276,7 @@ def segment_reassembly(spark, sf):
 @query("segment_states", _GAP + """select stream_id, idx, case when idx < next_idx then 'written' else 'waiting' end as state
   from a join g using (stream_id)""")
 def segment_states(spark, sf):
-    return sg.reassemble(arrived(spark, sf)).select("stream_id", "idx", "state")
+    return sg.reassemble(arrived(spark, sf).select("stream_id", "idx")).select("stream_id", "idx", "state")
 
 
 @query("write_stats", _HLS + """select stream_id, coalesce(sum(cn) filter (ok), 0)::bigint as bytes_written,
@@ -282,11 +285,14 @@ def write_stats(spark, sf):
     return sg.write_stats(sg.filter_segments(segs(spark, sf)))
 
 
-@query("sink_ordered_bytes", cte("segments") + """ select stream_id,
-  md5(unhex(string_agg(hex(data), '' order by idx))) as digest, sum(octet_length(data))::bigint as bytes from segments group by 1""")
+@query("sink_ordered_bytes", cte("segments") + """, o as (select stream_id, octet_length(data) as n, md5(data) as part,
+    coalesce(sum(octet_length(data)) over (partition by stream_id order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as pos
+  from segments)
+  select stream_id, sum(n)::bigint as bytes, count(*) as parts,
+    sum(('0x' || substr(md5(pos || ':' || part), 1, 8))::bigint)::bigint as digest from o group by 1""")
 def sink_ordered_bytes(spark, sf):
-    out = sg.small_stream_bytes(segs(spark, sf))
-    return out.select("stream_id", digest(F.col("bytes")).alias("digest"), F.octet_length("bytes").cast("long").alias("bytes"))
+    """Every stream, whatever its size, as ordered parts."""
+    return sg.stream_digests(segs(spark, sf))
 
 
 # ------------------------------------------------------------ playlists

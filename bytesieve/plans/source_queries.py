@@ -183,9 +183,9 @@ def sink_ordered_offsets(spark, sf):
 def sink_resume_offset(spark, sf):
     """Append only what lies at or past each output's resume offset."""
     path = session.new_path(spark, "resumed")
-    placed = sg.with_offsets(table(spark, sf, "segments").select("stream_id", "idx", "data"))
-    marks = placed.select("stream_id").distinct().withColumn("resume_offset", F.col("stream_id") * 97 % 1000)
-    sinks.append_after(placed.drop("data"), marks, path)
+    sized = table(spark, sf, "segments").select("stream_id", "idx", F.octet_length("data").cast("long").alias("length"))
+    marks = sized.select("stream_id").distinct().withColumn("resume_offset", F.col("stream_id") * 97 % 1000)
+    sinks.append_after(sg.with_offsets(sized), marks, path)
     return spark.read.parquet(path).select("stream_id", "idx", "length", "offset")
 
 

@@ -90,7 +90,7 @@ def st_reassembly(spark, sf):
   arg_max(status, (ts_us, event_id)) in ('Complete', 'Blocked', 'Cancelled', 'Failed') as is_terminal from log group by 1""")
 def st_latest_status(spark, sf):
     log = as_log(jobs.stream_table(spark, sf, "transfers"))
-    out = jobs.run(log.select("task_id", "ts_us", "event_id", "status"), keys=["task_id"], order="ts_us",
+    out = jobs.run(log.select("task_id", "ts_us", "event_id", "status"), keys=["task_id"], order=["ts_us", "event_id"],
                    per_batch=lambda b: jobs.newest_per_key(b, "task_id", ["ts_us", "event_id"]))
     return out.select("task_id", "status", F.col("status").isin(rules.TERMINAL_STATUSES).alias("is_terminal"))
 

@@ -325,19 +325,13 @@ GIVEN = [
 
 # Derived tables whose rows cost much more to build and search than to move.
 CPU_BOUND = {"files", "ts_segments", "playlists", "masters"}
-SMALL_SHARE = 64 * 1024 * 1024
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use every core on inputs too small to have a file split per core.
-
-    The planner's size estimate decides: below 64 MB per core the rows are
-    dealt out once, a shuffle of at most that much; larger inputs already have
-    enough splits and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out over the number of tasks that the session setting bytesieve.input.partitions names, if any.
+    For tables of a single row group, which no split size can divide; unset, the files' own splits stay."""
+    parts = int(df.sparkSession.conf.get("bytesieve.input.partitions", "0"))
+    return df.repartition(parts) if parts else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -348,7 +342,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if f"from {g}" in text:
             frames[g] = given(spark, sf_dir, g)
             if name in CPU_BOUND:
-                frames[g] = spread_small(frames[g])
+                frames[g] = dealt(frames[g])
             text = text.replace(f"from {g}", "from {" + g + "}")
     return spark.sql(text, **frames)
 

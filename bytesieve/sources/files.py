@@ -14,12 +14,12 @@ from bytesieve import rules
 
 
 def _read_prefix(path: str, size: int) -> bytes | None:
-    """First bytes of one file; None when it cannot be read."""
+    """First bytes of one file; None if it is not there.  Other errors fail the task, which is then tried again."""
     try:
         where, name, _ = _open_fs(path)
         with where.open_input_stream(name) as f:
             return f.read(size)
-    except OSError:
+    except FileNotFoundError:
         return None
 
 
@@ -91,10 +91,11 @@ def file_headers(spark: SparkSession, path: str, *, size: int = rules.HEADER_SIZ
 
 def sample_folders(spark: SparkSession, path: str, labels: dict[str, int], **kw) -> DataFrame:
     """Headers of labelled folders: the folder name below ``path`` gives the label."""
-    folder = F.col("path")
+    root = _open_fs(path)[1].rstrip("/") + "/"
+    folder = F.substring_index(F.substring_index("path", root, -1), "/", 1)  # the first one below path
     out = F.lit(None).cast("int")
     for name, value in labels.items():
-        out = F.when(F.contains(folder, F.lit(f"/{name}/")), F.lit(value)).otherwise(out)
+        out = F.when(folder == name, F.lit(value)).otherwise(out)
     return file_headers(spark, path, **kw).withColumn("label", out)
 
 

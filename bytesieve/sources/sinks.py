@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytesieve.functions import ordered as O
 from bytesieve.operators import segments
 
 EPOCH_COLUMNS = [
@@ -20,8 +21,8 @@ def write_splits(df: DataFrame, path: str, split: str = "split", fmt: str = "par
 
 
 def write_record(df: DataFrame, path: str) -> None:
-    """A one-row evaluation record as a single JSON file."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """Evaluation records, a JSON object per line, all that are given."""
+    df.write.mode("overwrite").json(path)
 
 
 def append_epochs(df: DataFrame, path: str) -> None:
@@ -32,14 +33,14 @@ def append_epochs(df: DataFrame, path: str) -> None:
 
 def write_ordered(df: DataFrame, path: str, key: str = "stream_id", idx: str = "idx") -> None:
     """Segments in output order, each with its byte offset."""
-    segments.ordered_rows(segments.with_offsets(df, key, idx), key, idx).write.mode("overwrite").parquet(path)
+    segments.ordered_rows(segments.placed(df, key, idx), key, idx).write.mode("overwrite").parquet(path)
 
 
 def after_offset(df: DataFrame, resume: DataFrame, key: str = "stream_id") -> DataFrame:
     """Rows at or past each output's resume offset; rows without one are all kept."""
-    marks = df.select(key).distinct().join(resume.select(key, "resume_offset"), key, "left").select(
+    marks = O.null_safe_join(df.select(key).distinct(), resume.select(key, "resume_offset"), [key], "left").select(
         key, F.coalesce("resume_offset", F.lit(0)).alias("resume_offset"))
-    return segments.lookup(df, marks, [key]).where(F.col("offset") >= F.col("resume_offset"))
+    return segments.lookup(df, marks, [key], ["offset"]).where(F.col("offset") >= F.col("resume_offset"))
 
 
 def append_after(df: DataFrame, resume: DataFrame, path: str, key: str = "stream_id") -> None:

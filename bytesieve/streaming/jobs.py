@@ -41,13 +41,13 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, **options) -> Data
     return spark.sql(text, **frames)
 
 
-def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, order: str = "batch",
+def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, order: str | list[str] = "batch",
         per_batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Drain a stream into parquet below the work folder and read it back.
 
     One folder per micro-batch, overwritten on a retry, so a batch that is run
     again after a failure is stored once.  With ``keys`` the result is the
-    newest row per key (by ``order``); complete mode keeps the newest batch.
+    newest row per key (by ``order``, then by batch); complete mode keeps the newest batch.
     ``per_batch`` reduces each micro-batch before it is stored.
     """
     spark = df.sparkSession
@@ -67,7 +67,7 @@ def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, orde
         rows = rows.join(F.broadcast(newest), "batch", "left_semi")
     elif keys:
         values = [c for c in rows.columns if c not in keys]
-        by = F.col("batch") if order == "batch" else F.struct(order, "batch")
+        by = F.struct(*([order] if isinstance(order, str) else order), "batch")
         rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), by).alias("_v")).select(*keys, "_v.*")
     return rows.select(*df.columns)
 
@@ -138,8 +138,8 @@ def reassemble_stream(chunks: DataFrame, key: str = "stream_id", max_waiting: in
     """Release segments in index order per stream.
 
     Needs ``stream_id, idx, arrival, data``.  State per stream: the next index
-    and at most ``max_waiting`` held segments; what exceeds that comes out as
-    an ``overflow`` row instead of growing the state.  Segments older than the
+    and at most ``max_waiting`` held segments; what exceeds that comes out with
+    its bytes as an ``overflow`` row instead of growing the state.  Segments older than the
     next index are dropped.  With ``gap_timeout_ms`` a stream stuck on a gap
     gives up its state after that silence (for long-running triggers: a
     processing-time timer keeps an available-now run from ever ending).
@@ -162,7 +162,7 @@ def reassemble_stream(chunks: DataFrame, key: str = "stream_id", max_waiting: in
                 if len(held) < max_waiting:
                     held[idx] = bytes(data)
                 else:
-                    rows.append((group[0], idx, None, "overflow", None))
+                    rows.append((group[0], idx, None, "overflow", bytes(data)))
                 continue
             if idx < expected:
                 continue

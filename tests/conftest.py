@@ -14,7 +14,7 @@ from bytesieve import session  # noqa: E402
 def spark():
     s = session.build("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "bytesieve.input.partitions": "8",
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s

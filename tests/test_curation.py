@@ -132,3 +132,29 @@ def test_matrix_checks(spark):
     c = {r.check: r.status for r in cu.validate_matrix(x.select("id", "features"), x.where("id = 1").select("id", "label")).collect()}
     assert c == {"Shape match": "error", "No NaN in features": "error", "No Inf in features": "error",
                  "Valid labels": "pass", "Minimum samples": "error"}
+
+
+def test_null_rows_are_not_repeats(spark):
+    df = spark.createDataFrame([("a", None, [1.0]), (None, "a", [1.0]), ("b", None, None), ("b", None, [None]), ("b", None, [])],
+                               "x string, y string, v array<double>")
+    assert cu.duplicate_counts(df).first().duplicates == 0
+    assert cu.duplicate_counts(df.union(df.limit(1))).first().duplicates == 1
+
+
+def test_null_vectors_are_missing(spark):
+    df = labelled(spark, [(1, [0.5, 0.5], 0), (2, None, 1)]).select("features", "label")
+    row = cu.missing_check(cu._overall(cu.profile(df), "label")).first()
+    assert row.status == "error" and row.detail.startswith("2 NaN values")
+
+
+def test_many_classes_split_and_oversample(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 1500).cast("int").alias("label"))
+    assert cu.split_stratified(df, ["id"]).count() == 3000
+    rows = cu.oversample(spark.range(1000).select("id", F.when(F.col("id") == 0, 1).otherwise(0).alias("label")), ["id"])
+    assert {r.label: r["count"] for r in rows.groupBy("label").count().collect()} == {0: 999, 1: 999}
+
+
+def test_null_vectors_stay_null(spark):
+    df = spark.createDataFrame([(1, None), (2, [0.5, 0.5])], "id long, features array<double>")
+    got = {r.id: r.features for r in cu.with_strategy(df, ["id"], "noise").collect()}
+    assert got[1] is None and len(got[2]) == 2

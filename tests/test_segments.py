@@ -100,13 +100,38 @@ def test_reassembly_with_a_hot_stream(spark):
     assert (got[1].next_idx, got[1].written, got[1].waiting, got[1].overflow) == (4321, 4321, 678, True)
     assert (got[2].next_idx, got[2].waiting) == (3, 0)
     assert (got[3].next_idx, got[3].written, got[3].overflow) == (0, 0, False)
-    whole = {r.stream_id: bytes(r.bytes) for r in sg.small_stream_bytes(streams(spark, rows), limit=100).collect()}
-    assert whole == {2: b"abc", 3: b"z"}
+    whole = {r.stream_id: (r.bytes, r.parts) for r in sg.stream_digests(streams(spark, rows)).collect()}
+    assert whole == {1: (4999, 4999), 2: (3, 3), 3: (1, 1)}  # every stream, however much larger than the rest
+
+
+def test_digest_tells_order(spark):
+    one = sg.stream_digests(streams(spark, [(1, 0, b"ab"), (1, 1, b"cd")])).first().digest
+    assert one == sg.stream_digests(streams(spark, [(1, 1, b"cd"), (1, 0, b"ab")])).first().digest
+    assert one != sg.stream_digests(streams(spark, [(1, 0, b"cd"), (1, 1, b"ab")])).first().digest
+
+
+def test_repeated_segments_are_ignored(spark):
+    rows = [(1, 0, b"a"), (1, 0, b"a"), (1, 1, b"b"), (1, 5, b"f"), (1, 5, b"g")]
+    r = sg.reassembly_summary(streams(spark, rows)).first()
+    assert (r.next_idx, r.written, r.bytes_written, r.waiting) == (2, 2, 2, 1)
+    at = sg.placed(sg.arrivals(streams(spark, rows))).orderBy("idx").collect()
+    assert [(r.idx, r.offset, bytes(r.data)) for r in at] == [(0, 0, b"a"), (1, 1, b"b"), (5, 2, b"f")]
+
+
+def test_hundred_rules(spark):
+    table = spark.createDataFrame([(i, f"r{i}", bytearray(b"<%03d>" % i), "Low", "LogOnly") for i in range(100)],
+                                  "ord int, name string, pattern binary, severity string, action string")
+    made = sg.rules_from(table)
+    df = frame(spark, [b"..<007>..<093>", b"<061><062><063>", b"none"])
+    hits = [r.rule_hits for r in sg.with_rule_hits(df, made).orderBy("idx").collect()]
+    assert hits == [["r7", "r93"], ["r61", "r62", "r63"], []]
+    assert {r.rule: r.segments for r in sg.rule_hit_counts(df, made).collect()} == {f"r{i}": 1 for i in (7, 61, 62, 63, 93)}
 
 
 def test_offsets_across_buckets(spark):
     rows = [(1, i, b"x" * (i % 5)) for i in range(700)]
-    got = sg.with_offsets(streams(spark, rows), width=64).orderBy("idx").collect()
+    sized = streams(spark, rows).select("stream_id", "idx", F.octet_length("data").cast("long").alias("length"))
+    got = sg.with_offsets(sized, width=64).orderBy("idx").collect()
     at = 0
     for r in got:
         assert r.offset == at
