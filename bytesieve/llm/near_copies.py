@@ -235,5 +235,5 @@ def _near_copies(docs, id_col, text_col, percent, width, k, listed, short, block
     several = classes.where("copies > 1").select("key", F.col("id").alias("first"))
     tops = several.join(tops, "key", "full").select("key", F.coalesce("root", "first").alias("root"))
     return made.join(tops, "key", "left").select(
-        "id", "n", F.coalesce("root", "id").alias("component"),
+        "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component"),
         F.coalesce(F.col("id") == F.coalesce("root", "id"), F.lit(True)).alias("kept"))
