@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MINUTE_US = 60_000_000
-HOUR_US = 60 * MINUTE_US
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -29,13 +27,34 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
     """Join a one-row-per-key table onto many rows per key.
 
-    The narrow side is copied per salt and the wide side spread over the salts by ``spread_by``, so a key with a third
-    of all rows is joined by many tasks.  There are as many salts as a key could need to reach every shuffle partition.
+    A key that owns more than a quarter of a task's fair share of the rows is salted by ``spread_by`` in proportion to
+    its size.  There are at most four such keys per shuffle partition and as many salts again, so their list is bounded
+    and may be broadcast; all other keys join unsalted, without copies.
     """
-    salts = max(2, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return null_safe_join(big.withColumn("_salt", salt), copies, [*keys, "_salt"]).drop("_salt")
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = big.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n")).scalar()
+    salts = F.ceil(F.col("_n") * 4 * parts / total).cast("int")
+    hot = F.broadcast(sizes.where(F.col("_n") * 4 * parts > total).select(*keys, salts.alias("_salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.col("_salts")).cast("int"), F.lit(0))
+    wide = null_safe_join(big, hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    copies = null_safe_join(per_key, hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
+    return null_safe_join(wide, copies, [*keys, "_salt"]).drop("_salt")
+
+
+ROWS_PER_BUCKET = 10_000
+
+
+def with_density_bucket(df: DataFrame, key: str, order: str, out: str = "_bucket",
+                        rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add a bucket number along ``order`` that splits each key's span into as many equal parts as the key has
+    multiples of ``rows`` rows: a dense key gets many, a sparse key one.  NULL order values come first."""
+    stats = df.groupBy(key).agg(F.count("*").alias("_rows"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    width = F.greatest((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / rows), F.lit(1.0))
+    stats = stats.select(key, "_low", width.alias("_width"))
+    return lookup(df, stats, [key], [order]).withColumn(
+        out, F.coalesce(F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("long"), F.lit(-1))).drop("_low", "_width")
 
 
 def _grouped(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
@@ -48,14 +67,14 @@ def _grouped(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
 
 
 def with_previous(
-    df: DataFrame, key: str, order: list[str], values: list[str], *, width: int = MINUTE_US,
+    df: DataFrame, key: str, order: list[str], values: list[str], *, rows_per_bucket: int = ROWS_PER_BUCKET,
     prefix: str = "prev_",
 ) -> DataFrame:
     """Add the previous row's ``values`` within ``key``, ordered by ``order``.
 
-    ``order[0]`` must be numeric; it is bucketed by ``width``.
+    ``order[0]`` must be a whole number; it is bucketed by the key's density.
     """
-    rows = _grouped(df, [key], F.floor(F.col(order[0]) / F.lit(width)))
+    rows = _grouped(with_density_bucket(df, key, order[0], rows=rows_per_bucket), [key], F.col("_bucket"))
     last = rows.groupBy("_g", "_b").agg(
         F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
     carry = last.select("_g", "_b", F.lag("_last").over(Window.partitionBy("_g").orderBy("_b")).alias("_carry"))

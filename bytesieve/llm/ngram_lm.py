@@ -33,7 +33,7 @@ from bytesieve.llm.words import Words, mixed, slices
 
 U = np.uint64
 END = U(0xE0D0E0D0E0D0E0D1)
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_000_000
 LOW, STEPS = -16.0, 255 / 16.0  # log10 probabilities in 255 steps
 COUNT_STEPS = 4096.0
 

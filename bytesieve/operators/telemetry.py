@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytesieve import rules
@@ -145,14 +145,34 @@ def pool_stats(requests: DataFrame) -> DataFrame:
 
 
 def idle_sessions(df: DataFrame, key: str = "host", ts: str = "ts_us", tie: str = "event_id",
-                  idle_secs: int = rules.IDLE_SECS, width: int = O.MINUTE_US) -> DataFrame:
-    """Sessions split where a host stayed silent longer than ``idle_secs``."""
-    prev = O.with_previous(df.select(key, ts, tie), key, [ts, tie], [ts], width=width)
-    new = F.when(F.col("prev_" + ts).isNull() | (F.col(ts) - F.col("prev_" + ts) > idle_secs * SECOND_US), 1).otherwise(0)
-    numbered = O.with_running_sum(
-        prev.withColumn("_new", new), [key], [F.col(ts), F.col(tie)], {"session": F.col("_new")}, F.floor(F.col(ts) / width))
-    return numbered.groupBy(key, "session").agg(
+                  idle_secs: int = rules.IDLE_SECS, rows_per_bucket: int = O.ROWS_PER_BUCKET) -> DataFrame:
+    """Sessions split where a host stayed silent longer than ``idle_secs``.
+
+    One shuffle of rows: sessions are cut inside (host, bucket).  Only the first and last session of a bucket can go on
+    in another one, so at most two rows per bucket are put in order across buckets; numbers are a running count over
+    buckets of sessions.
+    """
+    limit = idle_secs * SECOND_US
+    rows = O.with_density_bucket(df.select(key, ts, tie), key, ts, rows=rows_per_bucket)
+    inside = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
+    new = F.coalesce((F.col(ts) - F.lag(ts).over(inside) > limit).cast("int"), F.lit(0))
+    local = rows.select(key, "_bucket", ts, tie, new.alias("_new")).withColumn(
+        "_s", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = local.groupBy(key, "_bucket", "_s").agg(
         F.min(ts).alias("start_us"), F.max(ts).alias("end_us"), F.count("*").alias("requests"))
+    last = F.max("_s").over(Window.partitionBy(key, "_bucket"))
+    parts = parts.withColumn("_border", (F.col("_s") == 0) | (F.col("_s") == last))
+    across = Window.partitionBy(key).orderBy("_bucket", "_s")
+    border = parts.where("_border").withColumn("_gap", F.coalesce(
+        (F.col("_s") > 0) | (F.col("start_us") - F.lag("end_us").over(across) > limit), F.lit(False)))
+    border = border.withColumn("_run", F.sum(F.col("_gap").cast("int")).over(
+        across.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = border.groupBy(key, "_run").agg(
+        F.min("_bucket").alias("_bucket"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
+        F.sum("requests").alias("requests")).drop("_run")
+    sessions = parts.where("not _border").select(*whole.columns).unionByName(whole)
+    return O.with_running_sum(sessions, [key], [F.col("start_us")], {"session": F.lit(1).cast("long")}, F.col("_bucket")).select(
+        key, "session", "start_us", "end_us", "requests")
 
 
 # ------------------------------------------------------------ resources
@@ -178,9 +198,9 @@ def with_level_facts(df: DataFrame) -> DataFrame:
 
 
 def level_changes(df: DataFrame, key: str = "host", ts: str = "ts_us", tie: str = "event_id",
-                  width: int = O.MINUTE_US) -> DataFrame:
+                  rows_per_bucket: int = O.ROWS_PER_BUCKET) -> DataFrame:
     """Rows whose level differs from the one before; hosts start at Low."""
-    prev = O.with_previous(df, key, [ts, tie], ["level"], width=width)
+    prev = O.with_previous(df, key, [ts, tie], ["level"], rows_per_bucket=rows_per_bucket)
     return prev.withColumn("prev_level", F.coalesce("prev_level", F.lit(0))).where("level <> prev_level")
 
 

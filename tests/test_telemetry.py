@@ -73,8 +73,8 @@ def hot_rows(n=4000):
 def test_ordered_helpers_match_a_plain_loop(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "host int, ts_us long, event_id int, level int")
-    sessions = {(r.host, r.start_us, r.end_us, r.requests) for r in te.idle_sessions(df, width=O.HOUR_US).collect()}
-    changes = {(r.host, r.event_id, r.prev_level, r.level) for r in te.level_changes(df, width=O.HOUR_US).collect()}
+    sessions = {(r.host, r.start_us, r.end_us, r.requests) for r in te.idle_sessions(df, rows_per_bucket=40).collect()}
+    changes = {(r.host, r.event_id, r.prev_level, r.level) for r in te.level_changes(df, rows_per_bucket=40).collect()}
     want_s, want_c = set(), set()
     for h in (1, 2, 3):
         cur, last = None, 0
@@ -125,3 +125,21 @@ def test_errors(spark):
     assert one("HttpError", 404, "gone") == "HTTP error: 404 - gone"
     assert one("InvalidResumeOffset", 9, 5) == "Resume failed: offset 9 exceeds file size 5"
     assert one("Cancelled", 1, 2) == "Download cancelled"
+
+
+def test_density_buckets(spark):
+    """A dense key is cut into buckets of about the rows asked for; a sparse one stays whole."""
+    df = spark.range(20_000).select(F.lit("hot").alias("host"), F.col("id").alias("ts_us")).union(
+        spark.range(10).select(F.lit("cold").alias("host"), (F.col("id") * 10**9).alias("ts_us")))
+    per = O.with_density_bucket(df, "host", "ts_us", rows=1000).groupBy("host", "_bucket").count().collect()
+    hot = [r["count"] for r in per if r.host == "hot"]
+    assert len(hot) == 20 and max(hot) <= 1001
+    assert [r["count"] for r in per if r.host == "cold"] == [10]
+
+
+def test_lookup_with_hot_and_null_keys(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(None).cast("long")).when(F.col("id") % 3 == 1, 7)
+                                  .otherwise(F.col("id")).alias("k"), "id")
+    per = df.groupBy("k").agg(F.count("*").alias("n"))
+    got = O.lookup(df, per, ["k"], ["id"])
+    assert got.count() == 5000 and got.where("n > 1600").count() == 3334
