@@ -156,10 +156,10 @@ def running_best(epochs: DataFrame) -> DataFrame:
     return epochs.select("epoch", "accuracy", F.max("accuracy").over(w).alias("best_accuracy"))
 
 
-def metric_series(epochs: DataFrame, metric: str) -> DataFrame:
-    """One metric per epoch; missing values and missing metrics are 0."""
-    col = F.coalesce(F.col(metric), F.lit(0.0)) if metric in epochs.columns else F.lit(0.0)
-    return epochs.select("epoch", col.alias(metric))
+def metric_series(epochs: DataFrame, *metrics: str) -> DataFrame:
+    """Metrics per epoch in one pass; missing values and missing metrics are 0."""
+    return epochs.select("epoch", *[
+        (F.coalesce(F.col(m), F.lit(0.0)) if m in epochs.columns else F.lit(0.0)).alias(m) for m in metrics])
 
 
 def quality_gate(metrics: DataFrame, *, min_accuracy: float = rules.MIN_ACCURACY,

@@ -217,10 +217,12 @@ def memory_stats(df: DataFrame, key: str = "host") -> DataFrame:
 # ------------------------------------------------------------ errors and history
 
 def error_taxonomy(errors: DataFrame) -> DataFrame:
-    """Errors per category with their recoverable and security flags."""
+    """Errors per category with their recoverable and security flags; kinds that are not listed are one category,
+    neither recoverable nor of security."""
     counts = errors.groupBy("error_kind").agg(F.count("*").alias("errors"))
-    return counts.join(F.broadcast(dims.error_kinds(errors.sparkSession)), "error_kind").select(
-        "category", "recoverable", "is_security", "errors")
+    return counts.join(F.broadcast(dims.error_kinds(errors.sparkSession)), "error_kind", "left").groupBy(
+        F.coalesce("category", F.lit("Unlisted")).alias("category"), F.coalesce("recoverable", F.lit(False)).alias("recoverable"),
+        F.coalesce("is_security", F.lit(False)).alias("is_security")).agg(F.sum("errors").alias("errors"))
 
 
 def error_message(kind: Column, first: Column, second: Column) -> Column:

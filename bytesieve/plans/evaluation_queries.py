@@ -135,9 +135,7 @@ def epoch_running_best(spark, sf):
 @query("metric_series", _EPOCHS + """select epoch, coalesce(false_negative_rate, 0) as false_negative_rate, loss,
   0.0::double as f1 from epochs""")
 def metric_series(spark, sf):
-    e = epochs(spark, sf)
-    fnr, loss, f1 = (ev.metric_series(e, m) for m in ("false_negative_rate", "loss", "f1"))
-    return fnr.join(loss, "epoch").join(f1, "epoch")
+    return ev.metric_series(epochs(spark, sf), "false_negative_rate", "loss", "f1")
 
 
 @query("quality_gate", _EPOCHS + """select epoch, accuracy, false_negative_rate,

@@ -303,9 +303,16 @@ def predictions_sql(dialect: str) -> str:
 
 
 def logits_sql(dialect: str) -> str:
-    at = (lambda i: f"element_at(embedding, {i})") if dialect == "spark" else (lambda i: f"embedding[{i}]")
+    """Two logits from the whole vector: the sums of its halves."""
+    if dialect == "spark":
+        half = "cast(size(embedding) div 2 as int)"
+        total = lambda part: f"aggregate({part}, 0D, (a, x) -> a + x)"
+        first, second = total(f"slice(embedding, 1, {half})"), total(f"slice(embedding, {half} + 1, size(embedding))")
+    else:
+        half = "len(embedding) // 2"
+        first, second = (f"list_sum(embedding[{p}]::double[])" for p in (f"1:{half}", f"{half} + 1:"))
     return f"""
-      select vec_id as id, cast({at(1)} as double) * 8 as l0, cast({at(2)} as double) * 8 as l1, label
+      select vec_id as id, {first} * 2 as l0, {second} * 2 as l1, label
       from embeddings"""
 
 

@@ -238,11 +238,12 @@ def memory_stats(spark, sf):
 _KINDS = [k[0] for k in rules.ERROR_KINDS]
 
 
-@query("error_taxonomy", f"""with e as (select {pick(_KINDS, 'event_id % 13', 'duck')} as error_kind from events),
+@query("error_taxonomy", f"""with e as (select {pick([*_KINDS, 'Gremlin'], 'event_id % 14', 'duck')} as error_kind from events),
   {D.values(rules.ERROR_KINDS, 'error_kind, category, recoverable, is_security', 'd')}
-  select category, recoverable, is_security, count(*) as errors from e join d using (error_kind) group by 1, 2, 3""")
+  select coalesce(category, 'Unlisted') as category, coalesce(recoverable, false) as recoverable,
+    coalesce(is_security, false) as is_security, count(*) as errors from e left join d using (error_kind) group by 1, 2, 3""")
 def error_taxonomy(spark, sf):
-    e = given(spark, sf, "events").select(F.expr(pick(_KINDS, "event_id % 13", "spark")).alias("error_kind"))
+    e = given(spark, sf, "events").select(F.expr(pick([*_KINDS, "Gremlin"], "event_id % 14", "spark")).alias("error_kind"))
     return te.error_taxonomy(e)
 
 
