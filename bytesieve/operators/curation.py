@@ -381,6 +381,18 @@ def oversample(df: DataFrame, ids: list[str], label: str = "label", *, seed: int
         drawn.select(*df.columns, F.lit(True).alias("oversampled")))
 
 
+def augment_dataset(df: DataFrame, ids: list[str], label: str = "label", features: str = "features", *, balance: bool = True,
+                    shuffle: bool = True, seed: int = 42, **kw) -> DataFrame:
+    """Augment, then balance the classes, then number the rows in a shuffled order, as one job.
+
+    Adds ``copy, strategy, augmented, oversampled`` and, if shuffled, ``position``.
+    """
+    out = augment(df, ids, features, seed=seed, **kw)
+    keys = [*ids, "copy"]
+    out = oversample(out, keys, label, seed=seed) if balance else out.withColumn("oversampled", F.lit(False))
+    return with_position(out, keys, shuffle_key(*keys, seed=seed + 1), unit_bucket()) if shuffle else out
+
+
 def augmentation_stats(df: DataFrame, factor: int = rules.AUGMENT_FACTOR) -> DataFrame:
     n = df.agg(F.count("*").alias("original_size"))
     big = F.col("original_size") * (1 + factor)

@@ -313,6 +313,17 @@ def balance_oversample(spark, sf):
     return out.groupBy("label").agg(F.count("*").alias("rows"), F.count(F.when(~F.col("oversampled"), 1)).alias("originals"))
 
 
+@query("augment_dataset", _L + """select label, (select max(n) from c) * 4 as rows, n as originals, n * 3 as copies,
+  (select max(n) * 4 * count(*) from c)::bigint as last_position from c""")
+def augment_dataset(spark, sf):
+    """Augmented, balanced and shuffled in one job."""
+    out = cu.augment_dataset(clean(spark, sf), ["id"])
+    per = out.groupBy("label").agg(
+        F.count("*").alias("rows"), F.count(F.when(~F.col("augmented") & ~F.col("oversampled"), 1)).alias("originals"),
+        F.count(F.when(F.col("augmented") & ~F.col("oversampled"), 1)).alias("copies"), F.max("position").alias("_p"))
+    return per.withColumn("last_position", per.agg(F.max("_p")).scalar()).drop("_p")
+
+
 @query("aug_stats", _L + """select n as original_size, n * 4 as augmented_size, 3 as augmentation_factor, 4.0::double as expansion_ratio from o""")
 def aug_stats(spark, sf):
     return cu.augmentation_stats(labelled(spark, sf))

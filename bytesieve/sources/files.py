@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytesieve import rules
+from bytesieve import rules, session
 
 
 def _read_prefix(path: str, size: int) -> bytes | None:
@@ -43,37 +43,41 @@ def _open_fs(path: str):
     return fs.LocalFileSystem(), path, "file:"
 
 
-def list_files(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True,
-               max_folders: int = 10_000) -> DataFrame:
+def list_files(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """Path and size of every file, empty ones included; nothing is opened.
 
-    The driver names folders down to two levels (at most ``max_folders``); the
-    tasks list what lies in and below them.  Spark's own file source would
-    leave out empty files.
+    Tasks list folders, level by level; each level is written to the work folder and names the folders of the next, so
+    the driver holds no name but that of the root, however many files or folders there are.  Spark's own file source
+    would leave out empty files.
     """
-    from pyarrow import fs
-    where, root, scheme = _open_fs(path)
-    seeds, level = [(root, recursive)], [root]
-    for depth in range(2 if recursive else 0):
-        below = [i.path for d in level for i in where.get_file_info(fs.FileSelector(d)) if i.type == fs.FileType.Directory]
-        if not below or len(seeds) + len(below) > max_folders:
-            break
-        # The parents keep only the files directly in them.
-        seeds = [(p, deep and p not in level) for p, deep in seeds] + [(p, True) for p in below]
-        level = below
+    _, root, scheme = _open_fs(path)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs_here = _open_fs(path)[0]
+        from pyarrow import fs
+        where = _open_fs(path)[0]
         for batch in batches:
-            for folder, deep in zip(*(batch.column(c).to_pylist() for c in ("folder", "deep"))):
-                found = [i for i in fs_here.get_file_info(fs.FileSelector(folder, recursive=deep))
-                         if i.type == fs.FileType.File and (glob is None or fnmatch(i.base_name, glob))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([scheme + i.path for i in found], pa.string()),
-                     pa.array([i.size for i in found], pa.int64())], ["path", "file_size"])
-
-    plan = spark.createDataFrame(seeds, "folder string, deep boolean").repartition(len(seeds))
-    return plan.mapInArrow(walk, "path string, file_size long")
+            for folder in batch.column(0).to_pylist():
+                entries = where.get_file_info(fs.FileSelector(folder))
+                for low in range(0, len(entries), 10_000):
+                    part = [i for i in entries[low:low + 10_000] if i.type == fs.FileType.Directory
+                            or i.type == fs.FileType.File and (glob is None or fnmatch(i.base_name, glob))]
+                    folders = [i.type == fs.FileType.Directory for i in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i.path if d else scheme + i.path for i, d in zip(part, folders, strict=True)], pa.string()),
+                         pa.array([None if d else i.size for i, d in zip(part, folders, strict=True)], pa.int64()),
+                         pa.array(folders, pa.bool_())], ["path", "file_size", "is_folder"])
+
+    level, found = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        out = session.new_path(spark, "listing")
+        level.mapInArrow(walk, "path string, file_size long, is_folder boolean").write.parquet(out)
+        listed = spark.read.schema("path string, file_size long, is_folder boolean").parquet(out)
+        files = listed.where("not is_folder").select("path", "file_size")
+        found = files if found is None else found.unionByName(files)
+        level = listed.where("is_folder").select("path")
+        if not recursive or level.isEmpty():
+            return found
+        level = level.repartition("path")
 
 
 def file_headers(spark: SparkSession, path: str, *, size: int = rules.HEADER_SIZE, glob: str | None = None,

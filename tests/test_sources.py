@@ -38,7 +38,7 @@ def test_listing_depth_and_glob(spark, folder):
     (folder / "top.txt").write_bytes(b"yy")
     names = lambda **kw: sorted(r.path.rsplit("/", 1)[1] for r in files.list_files(spark, str(folder), **kw).collect())
     assert names() == sorted(["0.bin", "1.bin", "2.bin"] * 2 + ["empty.bin", "deep.bin", "top.txt"])
-    assert names(max_folders=1) == names() and names(recursive=False) == ["top.txt"] and names(glob="*.txt") == ["top.txt"]
+    assert names(recursive=False) == ["top.txt"] and names(glob="*.txt") == ["top.txt"]
 
 
 def test_response_prefix(spark):
@@ -94,3 +94,18 @@ def test_work_dir_prefers_the_named_folder(spark, tmp_path):
     assert session.new_path(Named, "x").startswith(str(tmp_path))
     first = session.work_dir(spark)
     assert session.work_dir(spark) == first
+
+
+def test_flat_and_nested_folders_below_a_labelled_name(spark, tmp_path):
+    """Many files in one folder, empty ones, deeper folders, and a root below a folder named like a label."""
+    root = tmp_path / "benign" / "set"
+    for name in ("benign", "malware/deep/er", "other"):
+        (root / name).mkdir(parents=True)
+    for i in range(3000):
+        (root / "malware" / f"{i}.bin").touch()
+    (root / "malware/deep/er/x.bin").write_bytes(b"MZ")
+    (root / "benign/y.bin").write_bytes(b"ab")
+    (root / "other/z.bin").write_bytes(b"c")
+    rows = files.sample_folders(spark, str(root), {"benign": 0, "malware": 1})
+    got = {(r.label, r.file_size): r["count"] for r in rows.groupBy("label", "file_size").count().collect()}
+    assert got == {(1, 0): 3000, (1, 2): 1, (0, 2): 1, (None, 1): 1}
