@@ -102,6 +102,29 @@ class Sequence:
         left -= np.where(byte > 0, upto[rows, byte - 1], 0)
         return (span * SPAN + word) * 64 + byte * 8 + _PLACE[bytes_[rows, byte], left]
 
+    def _run(self, pos: np.ndarray, ones: bool) -> np.ndarray:
+        """Length of the run of ones, or of zeros, that starts at each position; 64 stands for 64 and more."""
+        word, bit = pos >> 6, (pos & 63).astype(np.uint64)
+        window = self.high[word] >> bit
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        window |= np.where(bit == 0, U(0), after << ((U(64) - bit) & U(63)))
+        if ones:
+            window = ~window
+        return np.bitwise_count((window & (~window + _ONE)) - _ONE).astype(np.int64)
+
+    def pair(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places `at` and at the next ones."""
+        first = self._select(at, False)
+        gap = self._run(first + 1, False)
+        second = first + 1 + gap
+        far = np.flatnonzero(gap >= 64)
+        if len(far):
+            second[far] = self._select(at[far] + 1, False)
+        out = []
+        for pos, k in ((first, at), (second, at + 1)):
+            out.append(((pos - k).astype(np.uint64) << U(self.width) | unpacked(self.low, self.width, k)) + U(self.base))
+        return out[0], out[1]
+
     def get(self, at: np.ndarray) -> np.ndarray:
         high = (self._select(at, False) - at).astype(np.uint64)
         return (high << U(self.width) | unpacked(self.low, self.width, at)) + U(self.base)
@@ -116,11 +139,16 @@ class Sequence:
         x = x[inside]
         high = (x >> U(self.width)).astype(np.int64)
         low = x & U((1 << self.width) - 1)
-        end = self._select(high, True) - high
-        at = np.zeros(len(x), np.int64)
+        start = np.zeros(len(x), np.int64)
         later = high > 0
-        at[later] = self._select(high[later] - 1, True) - high[later] + 1
-        open_ = np.flatnonzero(at < end)
+        start[later] = self._select(high[later] - 1, True) + 1
+        size = self._run(start, True)
+        at = start - high
+        end = at + size
+        far = np.flatnonzero(size >= 64)
+        if len(far):
+            end[far] = self._select(high[far], True) - high[far]
+        open_ = np.flatnonzero(size > 0)
         while len(open_):
             seen = unpacked(self.low, self.width, at[open_])
             out[inside[open_[seen == low[open_]]]] = at[open_[seen == low[open_]]]
@@ -155,7 +183,7 @@ def mapped(uri: str) -> dict[str, np.ndarray]:
         os.close(fd)
         pafs.copy_files(path, copy, source_filesystem=files, destination_filesystem=pafs.LocalFileSystem())
         path = copy
-    whole = np.memmap(path, np.uint8, "r")
+    whole = np.memmap(path, np.uint8, "r").view(np.ndarray)
     if copy:
         os.unlink(copy)
     size = int.from_bytes(whole[:8].tobytes(), "little")

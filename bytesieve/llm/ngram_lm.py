@@ -76,6 +76,26 @@ def expanded(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
+def grouped(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of shard, and where each shard's begin."""
+    small = shard.astype(np.uint16) if shards < 1 << 16 else shard  # sixteen bits sort in linear time
+    cut = np.zeros(shards + 1, np.int64)
+    np.cumsum(np.bincount(shard, minlength=shards), out=cut[1:])
+    return np.argsort(small, kind="stable"), cut
+
+
+def distinct(keys: np.ndarray):
+    """Distinct keys in order, a place of each, the number of each key's distinct key, and counts."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    starts = np.flatnonzero(new)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[starts], order[starts], back, np.diff(np.append(starts, len(keys)))
+
+
 def spread(ctx: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
     """The file of an n-gram. A context keeps to an eighth of the files, so even one that follows every word is
     dealt out."""
@@ -104,8 +124,7 @@ class Level:
 
     def by_shard(self, shard: np.ndarray):
         """(shard, places) for the shards that occur."""
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        order, cut = grouped(shard, self.shards)
         for s in range(self.shards):
             if cut[s] < cut[s + 1] and self.files[s]:
                 yield s, order[cut[s]:cut[s + 1]]
@@ -143,8 +162,7 @@ class Level:
             pointers = Sequence(file, "pointers")
             low, high = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             hit = np.flatnonzero(rank >= 0)
-            low[hit] = pointers.get(rank[hit]).astype(np.int64)
-            high[hit] = pointers.get(rank[hit] + 1).astype(np.int64)
+            low[hit], high[hit] = pointers.pair(rank[hit])
             low, high = low[nth], high[nth]
             live = np.flatnonzero(low < high)
             width, successors = int(file["width"][0]), file["successors"]
@@ -179,7 +197,7 @@ class Block:
     def __init__(self, hashes: np.ndarray, rows: np.ndarray):
         """rows: where each document's tokens begin, and their number at the end."""
         self.rows = rows
-        self.words, self.token = np.unique(hashes, return_inverse=True)
+        self.words, _, self.token, _ = distinct(hashes)
         first = np.zeros(len(hashes) + 1, bool)
         first[rows] = True
         self.first = first[:-1]
@@ -204,7 +222,7 @@ class Block:
             if int(model.levels[n - 2].total).bit_length() + int(bits) > 64:
                 raise OverflowError("more nodes than 64-bit keys can tell apart")
             key = before[usable].astype(np.uint64) << bits | word[usable]
-            keys, pick, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            keys, pick, back, times = distinct(key)
             pick = usable[pick]
             ctx, w = keys >> bits, keys & ((U(1) << bits) - U(1))
             last = (ctx, w, times, p[pick], before_weight[pick])
@@ -278,8 +296,7 @@ PAYLOAD = "shard long, a binary, b binary, c binary"
 
 def payload(shard: np.ndarray, shards: int, *columns: np.ndarray) -> pa.RecordBatch | None:
     """A row per shard of the columns' values that fall to it; the first column is in order and goes as differences."""
-    order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    order, cut = grouped(shard, shards)
     out = [[], [], [], []]
     for s in range(shards):
         if cut[s] < cut[s + 1]:
@@ -297,7 +314,7 @@ def gathered(table: pa.Table):
     """Distinct keys of a shard's payloads, their summed counts, and the third column's value of each."""
     keys = np.concatenate([np.cumsum(expanded(x), dtype=np.uint64) for x in table["a"].to_pylist()])
     counts = np.concatenate([expanded(x) for x in table["b"].to_pylist()])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sums = np.add.reduceat(counts[order], starts)
