@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from bytesieve.llm.words import slices
 
-KEPT_PIECES, KEPT_PAIRS, LONG_TEXT = 300_000, 2_000_000, 1 << 20
+KEPT_PIECES, KEPT_PAIRS, LONG_TEXT = 150_000, 500_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,6 +167,10 @@ class Encoder:
             self.pieces[piece] = made
         return made
 
+    def forget(self) -> None:
+        """Drops what is remembered of pieces; workers outlive their tasks, and the next may do other work."""
+        self.pieces, self.older = {}, {}
+
     def pieces_of(self, text: str, pattern) -> Iterator[list[tuple[str, bytes]]]:
         """What is known of all pieces of a text, in runs, so that a very long text is never held as pieces."""
         if len(text) <= LONG_TEXT:
@@ -262,6 +266,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(

@@ -132,7 +132,7 @@ def scored(docs: DataFrame, model, s: Settings = Settings(), id_col: str = "doc_
     bias = model[1]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 2, 1 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 2, 1 << 19)):
             score = _scores(batch.column(2), weights.value, bias, s)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= s.cut).astype(np.int32))],
@@ -151,7 +151,7 @@ def kept(docs: DataFrame, model, s: Settings = Settings(), text_col: str = "text
     where = docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, where, 1 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, where, 1 << 19)):
             keep = _scores(batch.column(where), weights.value, bias, s) >= s.cut
             yield batch.filter(pa.array(keep))
 

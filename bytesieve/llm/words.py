@@ -63,7 +63,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20):
     """The batch in runs of rows of about `size` bytes of text, so that work arrays stay small; a longer row is a run of
     its own."""
     _, offsets = buffers(batch.column(column))
