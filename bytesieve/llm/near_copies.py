@@ -212,7 +212,7 @@ def _near_copies(docs, id_col, text_col, percent, width, k, listed, short, block
     crowd = stored(post.where(F.col("m") > short).select("id").distinct(), "crowd")
     crowd_sets = stored(shingle_rows(docs, id_col, text_col, width, crowd).join(
         first.select("id"), "id", "left_semi"), "crowd-sets")
-    rare = stored(lists(rare_postings(crowd_sets, percent)), "rare")
+    rare = stored(lists(stored(rare_postings(crowd_sets, percent), "rare-postings")), "rare")
     long = rare.where(F.col("m") > short)
     centre = long.groupBy("v").agg(F.min(F.struct("lone", "id")).alias("c")).select("v", F.col("c.id").alias("pivot"))
     long = stored(long.join(centre, "v"), "long")
