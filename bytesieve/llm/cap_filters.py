@@ -1,11 +1,13 @@
 """Near-copies of vectors by spherical-cap filters.
 
 Filter directions are pairs of random codewords, one for each half of a randomly rotated vector, so few codewords make
-very many directions. A vector belongs to all directions whose inner product with it exceeds a threshold; they are
-listed by sorting the codeword scores of each half and walking only the pairs that exceed it. Vectors meet in the filters
-that they share, where their cosine is computed in double precision. Over random directions the inner product of a
-direction with any unit vector is nearly normal with variance 1/d, so the threshold for an expected number of filters
-per vector, and the number of codewords for a bounded expected number of vectors per filter, hold for any data.
+very many directions. A vector belongs to the caps of the `filters` directions nearest to it: its threshold is its own, so
+every vector has the same number of filters, whatever the number of vectors. They are listed by sorting the codeword
+scores of each half; the direction of ranks (i, j) is among the k best only if i * j <= k, counted from 1. Vectors meet in
+the filters that they share, where their cosine is computed in double precision. The number of codewords gives a bounded
+mean number of vectors per filter. Too many would cut the space finer than the wanted cosine (few dimensions, very many
+vectors), so it is halved until, measured on a bounded sample of the vectors with partners placed at exactly that cosine,
+at most `MISSED` of the pairs share no filter; at the end one filter holds all.
 
 A pair counts in the smallest filter that it shares, so it counts once. Filters with many vectors are cut into blocks
 and every two blocks meet in one bounded group; groups give each vector's number of links and a spanning forest, never
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,41 +27,71 @@ from bytesieve.llm.components import components
 from bytesieve.llm.tables import stored, tasks
 
 BLOCK, PER_FILTER, FILTERS = 256, 64, 28
+MISSED, SAMPLE, SAMPLE_NUMBERS = 0.001, 1000, 1_000_000
 
 
 class Code:
-    """Rotation, codewords and threshold for dimension d and about n vectors."""
+    """Rotation and codewords for dimension d, about n vectors and pairs of cosine `least`; sample: unit vectors to measure
+    the share of missed pairs on, random ones if there is none."""
 
-    def __init__(self, d: int, n: int, filters: int = FILTERS, seed: int = 5):
+    def __init__(self, d: int, n: int, filters: int = FILTERS, seed: int = 5, least: float = 0.95,
+                 sample: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
-        self.d, self.even = d, d + d % 2
-        self.words = max(16, 1 << math.ceil(math.log2(max(1.0, n * filters / PER_FILTER)) / 2))
+        self.d, self.even, self.most = d, d + d % 2, filters
         self.turn, _ = np.linalg.qr(rng.standard_normal((self.even, self.even)))
         half = self.even // 2
-        books = rng.standard_normal((2, self.words, half))
-        self.books = books / np.linalg.norm(books, axis=2, keepdims=True) / math.sqrt(2)
-        share = min(0.4, filters / self.words ** 2)
-        self.least = NormalDist().inv_cdf(1 - share) / math.sqrt(self.even)
+        words = max(16, 1 << math.ceil(math.log2(max(1.0, n * filters / PER_FILTER)) / 2))
+        books = rng.standard_normal((2, words, half))
+        books = books / np.linalg.norm(books, axis=2, keepdims=True) / math.sqrt(2)
+        x, y = partners(rng, d, least, sample)
+        self._use(books, words)
+        while words > 1 and self.missed(x, y) > MISSED:
+            words //= 2
+            self._use(books, words if words ** 2 > filters else 1)
+            words = self.words
+
+    def _use(self, books: np.ndarray, words: int):
+        self.words, self.books = words, books[:, :words].copy()
+        ranks = [(i, j) for i in range(min(words, self.most)) for j in range(min(words, self.most // (i + 1)))]
+        self.ranks = np.array(ranks).T if words ** 2 > self.most else np.indices((words, words)).reshape(2, -1)
+
+    def missed(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Share of the pairs of unit vectors that have no filter in common."""
+        lost = 0
+        for low in range(0, len(x), 256):
+            both = zip(self.filters(x[low:low + 256]), self.filters(y[low:low + 256]), strict=True)
+            lost += sum(not len(np.intersect1d(p, q, True)) for p, q in both)
+        return lost / max(1, len(x))
 
     def filters(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Per unit vector the sorted numbers of all filters that it exceeds; the best one if there is none."""
+        """Per unit vector the sorted numbers of the filters nearest to it."""
         x = np.zeros((len(unit), self.even))
         x[:, :self.d] = unit
         x = x @ self.turn
-        half = self.even // 2
+        half, first = self.even // 2, int(self.ranks.max()) + 1
         a, b = x[:, :half] @ self.books[0].T, x[:, half:] @ self.books[1].T
-        order_a, order_b = np.argsort(-a, axis=1), np.argsort(-b, axis=1)
-        out = []
-        for i in range(len(x)):
-            sa, sb = a[i, order_a[i]], b[i, order_b[i]]
-            firsts = int(np.searchsorted(-sa, sb[0] - self.least, "right"))
-            counts = np.searchsorted(-sb, sa[:firsts] - self.least, "right")
-            if not counts.sum():
-                firsts, counts = 1, np.array([1])
-            at = np.repeat(np.arange(firsts), counts)
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-            out.append(np.sort(order_a[i, at].astype(np.int64) * self.words + order_b[i, nth]))
-        return out
+        order_a, order_b = np.argsort(-a, axis=1)[:, :first], np.argsort(-b, axis=1)[:, :first]
+        i, j = self.ranks
+        score = np.take_along_axis(a, order_a, 1)[:, i] + np.take_along_axis(b, order_b, 1)[:, j]
+        best = np.argsort(-score, axis=1)[:, :self.most]
+        found = np.take_along_axis(order_a, i[best], 1) * self.words + np.take_along_axis(order_b, j[best], 1)
+        return list(np.sort(found.astype(np.int64), axis=1))
+
+
+def partners(rng, d: int, least: float, sample: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and for each a partner of that cosine: half of them in a random direction, half towards another vector
+    of the sample."""
+    x = rng.standard_normal((SAMPLE, d)) if sample is None or not len(sample) else sample
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[np.arange(2 * SAMPLE) % len(x)]
+    away = np.concatenate([rng.standard_normal((SAMPLE, d)), x[rng.permutation(2 * SAMPLE)[:SAMPLE]]])
+    for _ in range(2):
+        away -= (away * x).sum(1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    ok = size[:, 0] > 1e-6
+    x, away = x[ok], away[ok] / size[ok]
+    least = min(1.0, max(-1.0, least))
+    return x, least * x + math.sqrt(1 - least * least) * away
 
 
 def _vectors(column) -> np.ndarray:
@@ -205,7 +236,11 @@ def near_vectors(table: DataFrame, least: float = 0.95, id_col: str = "vec_id",
     classes = stored(rows.where("ok").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("w")), "vectors")
     links = None
     for d, n in sorted(map(tuple, classes.groupBy(F.size("vec").alias("d")).count().collect())):
-        made = stored(filter_rows(classes.where(F.size("vec") == d), Code(d, n, filters)), "filters")
+        own = classes.where(F.size("vec") == d)
+        some = own.orderBy(F.xxhash64("id"), "id").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // d))).select("vec").collect()
+        x = np.array([r.vec for r in some])
+        code = Code(d, n, filters, least=least, sample=x / np.linalg.norm(x, axis=1, keepdims=True))
+        made = stored(filter_rows(own, code), "filters")
         one = met(made, least)
         links = one if links is None else links.unionByName(one)
     if links is None:

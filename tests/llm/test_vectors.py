@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from bytesieve.llm.cap_filters import near_vectors
+from bytesieve.llm.cap_filters import Code, near_vectors
 
 
 def plain(rows, least):
@@ -52,3 +53,31 @@ def test_near_vectors_edges(spark):
     out = near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (None, [1.0, 0.0], 1), (3, [1.0], 0)], schema))
     assert {(r.id, r.links, r.component, r.kept) for r in out.collect()} == {
         (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, 0, None, True)}
+
+
+def pairs(d, cosine, m, seed):
+    rng = np.random.default_rng(seed)
+    x, z = rng.standard_normal((2, m, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    return x, cosine * x + (1 - cosine ** 2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("d, n", [(64, 10_000), (64, 1_000_000), (64, 10_000_000), (4, 100_000), (2, 1000)])
+def test_recall_for_every_number_of_vectors(d, n):
+    code = Code(d, n)
+    x, y = pairs(d, 0.951, 1000, 9)
+    a, b = code.filters(x), code.filters(y)
+    assert max(len(f) for f in a + b) <= 28
+    assert d < 64 or min(len(f) for f in a + b) == 28
+    assert all(np.array_equal(f, np.unique(f)) for f in a)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) >= 0.995
+
+
+def test_filters_are_the_nearest():
+    code = Code(6, 1000)
+    x, _ = pairs(6, 0.9, 20, 1)
+    turned = x @ code.turn
+    score = (turned[:, :3] @ code.books[0].T)[:, :, None] + (turned[:, 3:] @ code.books[1].T)[:, None, :]
+    want = np.sort(np.argsort(-score.reshape(20, -1), axis=1)[:, :28], axis=1)
+    assert np.array_equal(np.array(code.filters(x)), want)
