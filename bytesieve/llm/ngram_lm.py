@@ -41,11 +41,11 @@ COUNT_STEPS = 4096.0
 @dataclass(frozen=True)
 class Settings:
     """order: longest n-gram. prior: strength m per level from 2 on. least: n-grams of a level counted less often are
-    not stored (they back off), per level from 2 on."""
+    not stored (they back off, and their mass is lost), per level from 2 on; 1 stores all."""
 
     order: int = 3
     prior: tuple[float, ...] = (4.0, 2.0)
-    least: tuple[int, ...] = (1, 2)
+    least: tuple[int, ...] = (1, 1)
     folds: int = 10
 
 

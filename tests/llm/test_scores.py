@@ -108,3 +108,14 @@ def test_ngram_lm_without_rows(spark):
     only = next(i for i in range(100) if held(i, 10))
     row = ngram_lm.learned_and_scored(documents(spark, [(only, "some words")])).collect()[0]
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0)
+
+
+def test_ngram_lm_keeps_what_was_seen_once(spark):
+    kept, out = next(i for i in range(100) if not held(i, 10)), next(i for i in range(100) if held(i, 10))
+    text = " ".join(f"w{i}" for i in range(40))
+    got = {r.doc_id: r.score for r in ngram_lm.learned_and_scored(documents(spark, [(kept, text), (out, text)])).collect()}
+    one = 1.1 / (41 + 0.1 * 42)
+    two = (1 + 4 * one) / (1 + 4)
+    three = (1 + 2 * two) / (1 + 2)
+    want = math.log10(one) + math.log10(two) + 39 * math.log10(three)
+    assert got[kept] == got[out] and abs(got[out] - want) < 0.04 * 41
