@@ -32,7 +32,7 @@ class Settings:
     l1: float = 12.0
     l2: float = 0.5
     epochs: int = 3
-    rows: int = 12000
+    rows: int = 20000
     folds: int = 5
     cut: float = 0.5
 

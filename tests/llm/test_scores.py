@@ -52,6 +52,15 @@ def test_toxicity(spark):
     assert np.mean([p == int(i % 3 == 1) for i, p in known.items() if i < 240]) > 0.95
 
 
+def test_toxicity_learns_from_twenty_thousand(spark, monkeypatch):
+    docs = spark.range(16_000).selectExpr("id as doc_id", "concat('word ', id) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, s: sizes.append(len(rows)))
+    toxicity.train(docs, labels)
+    assert sizes == [sum(not held(i, 5) for i in range(16_000))] and 12_000 < sizes[0] < 20_000
+
+
 def test_models_without_rows(spark):
     docs = documents(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
