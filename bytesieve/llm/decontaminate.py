@@ -32,12 +32,14 @@ LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 @dataclass(frozen=True)
 class Settings:
     """masks: counted positions (1) of each seed. matched: least share of equal words over the aligned stretch.
-    shortest: least number of equal words. covered: least share of the item's words that the stretch must match."""
+    shortest: least number of equal words. covered: least share of the item's words that the stretch, or several of a
+    region together, must match. run: so many equal words in one stretch do for an item of any length."""
 
     masks: tuple[str, ...] = ("11111111", "1101101101011", "11010011101011")
     matched: float = 0.8
     shortest: int = 10
     covered: float = 0.5
+    run: int = 50
 
 
 def seeds(h: np.ndarray, rows: np.ndarray, masks: tuple[str, ...]):
@@ -136,11 +138,9 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, s: Settings) -> tuple[int, i
     at = np.repeat(hit, n)
     nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
     lines, counts = np.unique(at - order[nth], return_counts=True)
-    best = (0, 0, 0)
-    for k in np.argsort(-counts, kind="stable"):
-        if counts[k] <= best[2] or counts[k] < s.shortest:
-            break
-        line = int(lines[k])
+
+    def stretch(line: int):
+        """(start, end, the item's equal places) of a diagonal."""
         a, b = max(0, line), min(len(doc), line + len(item))
         same = doc[a:b] == item[a - line:b - line]
         # the longest stretch of which at least the share `matched` is equal: for each end the earliest fitting begin
@@ -148,20 +148,33 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, s: Settings) -> tuple[int, i
         begins = np.searchsorted(-np.minimum.accumulate(gain), -gain - 1e-9)
         end = int(np.argmax(np.arange(len(gain)) - begins))
         begin = int(begins[end])
-        place = np.flatnonzero(same[begin:end])
-        if not len(place):
-            continue
-        begin, end = begin + int(place[0]), begin + int(place[-1]) + 1
-        equal = len(place)
-        if equal > best[2]:
-            best = (a + begin, a + end, equal)
-    return best
+        place = np.flatnonzero(same[begin:end]) + begin
+        return (a + int(place[0]), a + int(place[-1]) + 1, place + a - line) if len(place) else (0, 0, place)
+
+    best, order = (0, 0, 0), np.argsort(-counts, kind="stable")
+    for k in order:
+        if counts[k] <= best[2] or counts[k] < s.shortest:
+            break
+        start, end, place = stretch(int(lines[k]))
+        if len(place) > best[2]:
+            best = (start, end, len(place))
+    if not s.shortest <= best[2] < min(s.run, s.covered * len(item)):
+        return best
+    # words put in or left out: stretches of several diagonals near the best one, each place of the item counted once
+    low, high, _ = best
+    got = np.zeros(len(item), bool)
+    parts = [x for x in (stretch(int(lines[k])) for k in order if counts[k] >= s.shortest) if len(x[2]) >= s.shortest]
+    for start, end, place in sorted(parts, key=lambda x: (-len(x[2]), x[0])):
+        if start <= best[1] + len(item) and end >= best[0] - len(item) and not got[place].all():
+            got[place] = True
+            low, high = min(low, start), max(high, end)
+    return (low, high, int(got.sum())) if got.sum() >= s.covered * len(item) else best
 
 
 def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, item, start_word, end_word, n_equal, item_words): one row per document and item for the best overlap that
-    has at least s.shortest equal words, and at least the share s.covered of the item's words.
+    has at least s.shortest equal words, and s.run equal words in one stretch or the share s.covered of the item's words.
 
     Words are runs of letters and digits, capitals of Latin-1 as small letters. Null and empty texts and null ids match nothing. Rows that repeat
     an id count together, the best overlap stays. Items of fewer words than the shortest mask match nothing."""
@@ -187,7 +200,8 @@ def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings(), id_col: s
              .join(known.dropDuplicates(["item", "words"]).select("item", F.col("words").alias("other")), "item")
              .select("doc", "item", "begin", (F.octet_length("other") / 8).cast("long").alias("item_words"),
                      compared("words", "other").alias("o")))
-    found = found.where((F.col("o.equal") >= s.shortest) & (F.col("o.equal") >= s.covered * F.col("item_words")))
+    found = found.where((F.col("o.equal") >= s.shortest) & (
+        F.col("o.equal") >= F.least(F.lit(float(s.run)), s.covered * F.col("item_words"))))
     best = found.groupBy("doc", "item").agg(F.max(F.struct(
         F.col("o.equal").alias("equal"), (-(F.col("begin") + F.col("o.start"))).alias("first"),
         (F.col("begin") + F.col("o.end")).alias("end"), "item_words")).alias("b"))

@@ -231,3 +231,17 @@ def test_html_edges(spark):
     assert {k for k in out if k[0] in (1, 2, 3, 4, 5, None)} == {(1, "a"), (2, ""), (3, ""), (4, "x"), (5, "y"), (None, "z")}
     assert out[7, len(sentence(1, 50_000))].n_lines == 1
     assert html_text.extracted(table.limit(0)).count() == 0
+
+
+def test_leaks_of_long_quotes_and_shifted_copies(spark):
+    long = [f"l{i}" for i in range(2000)]
+    item = [f"m{i}" for i in range(60)]
+    shifted = [*item[:29], "put", "in", *item[29:]]
+    for i in (3, 11, 20, 40, 48, 55):
+        shifted[i] = "other"
+    docs = [(1, " ".join(["so", *long[500:1400], "on"])), (2, " ".join(shifted)), (3, " ".join(long[:40])),
+            (4, " ".join(item[:25]))]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(item))], "item_id long, text string")
+    got = {(r.doc, r.item): (r.start_word, r.end_word, r.n_equal)
+           for r in decontaminate.leaks(documents(spark, docs), items).collect()}
+    assert got == {(1, 1): (1, 901, 900), (2, 2): (0, 62, 54)}
