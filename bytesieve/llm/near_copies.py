@@ -5,12 +5,14 @@ documents together, the union sketch of two documents estimates their similarity
 the full shingle sets decides.
 
 Two documents of similarity s share a given one of the smallest values of their union with probability s, so the lists
-of the `listed` smallest retained values miss a pair with probability (1 - s) ** listed: 3e-7 at 0.85 and 8 values.
+of the `listed` smallest retained values miss a pair with probability (1 - s) ** listed. The union-sketch filter drops one
+whose estimate is `DEVIATIONS` deviations too low. `missed` gives the chance of both together: 7.3e-09 at 0.85 and 1.0e-07 at
+0.80 with 10 of 64 values.
 Lists of up to `short` documents give all their pairs. The documents of longer lists (a passage that many share, a large
 group of copies) go a second way that misses nothing: of all shingles of such a document the rarest n - ceil(s n) + 1
 must hold one that a partner has, so only those are listed. What still is a long list there holds documents that mostly
 are copies of each other: each is compared with one pivot, the members that the pivot does not tie together are
-compared in blocks of bounded size. Nothing is capped or left out, and no list is gathered whole."""
+compared in blocks of bounded size. Nothing is capped, and no list is gathered whole."""
 
 from __future__ import annotations
 
@@ -30,6 +32,7 @@ from bytesieve.llm.membership import bitmap, seen, slots
 from bytesieve.llm.tables import Scratch, stored, tasks
 from bytesieve.llm.words import shingle_sets, slices
 
+DEVIATIONS = 7
 SKETCH = "id long, n long, key binary, sketch array<long>"
 
 
@@ -189,8 +192,19 @@ def block_links(post: DataFrame, items: DataFrame, roots: DataFrame, percent: in
     return rows.groupBy("v", "mine", "theirs").applyInPandas(of, "a long, b long")
 
 
+def least_estimate(percent: int, k: int) -> float:
+    """What the union sketch must reach: the estimate may be off by some deviations of a share of k draws."""
+    return percent / 100 - DEVIATIONS * math.sqrt(percent / 100 * (1 - percent / 100) / k)
+
+
+def missed(percent: int, k: int = 64, listed: int = 10) -> float:
+    """Chance, at most, that a pair exactly at the threshold shares none of the listed values or fails the estimate."""
+    p, least = percent / 100, least_estimate(percent, k)
+    return (1 - p) ** listed + sum(math.comb(k, i) * p ** i * (1 - p) ** (k - i) for i in range(k + 1) if i / k < least)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5,
-                k: int = 64, listed: int = 8, short: int = 16, block: int = 256) -> DataFrame:
+                k: int = 64, listed: int = 10, short: int = 16, block: int = 256) -> DataFrame:
     """Per row of docs: id, n (shingles), component (smallest id reachable over links), kept (id is that smallest).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles; a text
@@ -218,11 +232,9 @@ def _near_copies(docs, id_col, text_col, percent, width, k, listed, short, block
     long = stored(long.join(centre, "v"), "long")
     spokes = long.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     pairs = stored(pairs.unionByName(short_pairs(rare, short, percent)).unionByName(spokes).distinct(), "pairs")
-    # the estimate may be off by some deviations of a share of k draws
-    least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / k)
     likely = (pairs.join(first.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
               .join(first.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-              .where(union_estimate("x", "y") >= least).select("a", "b"))
+              .where(union_estimate("x", "y") >= least_estimate(percent, k)).select("a", "b"))
     likely = stored(likely, "likely")
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     links = stored(linked(likely, shingle_rows(docs, id_col, text_col, width, wanted), percent), "links")

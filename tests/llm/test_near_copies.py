@@ -1,3 +1,4 @@
+import inspect
 import math
 import os
 import random
@@ -6,6 +7,7 @@ from collections import defaultdict
 import pytest
 from helpers import documents, edge_rows, sentence, words
 
+from bytesieve.llm import near_copies as near_copies_module
 from bytesieve.llm import op3_queries
 from bytesieve.llm.components import components
 from bytesieve.llm.near_copies import near_copies
@@ -83,3 +85,13 @@ def test_query(spark, sf_dir):
     out = op3_queries.op3_near_copies(spark, sf_dir)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == plain(rows, 85)
     assert math.isfinite(out.count())
+
+
+def test_chance_of_a_missed_pair():
+    default = {n: p.default for n, p in inspect.signature(near_copies_module.near_copies).parameters.items()}
+    k, listed = default["k"], default["listed"]
+    for percent in (80, 85):
+        s, cut = percent / 100, near_copies_module.least_estimate(percent, k)
+        low = sum(math.comb(k, i) * s ** i * (1 - s) ** (k - i) for i in range(k + 1) if i / k < cut)
+        assert (1 - s) ** listed + low <= 2e-7
+        assert abs(near_copies_module.missed(percent, k, listed) - (1 - s) ** listed - low) < 1e-12
