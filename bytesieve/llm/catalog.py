@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
-from bytesieve.llm import op1_queries, op2_queries, op3_queries, op4_queries, op5_queries, op6_queries, op7_queries, op8_queries, op9_queries, op10_queries
+from bytesieve.llm import (
+    op1_queries,
+    op2_queries,
+    op3_queries,
+    op4_queries,
+    op5_queries,
+    op6_queries,
+    op7_queries,
+    op8_queries,
+    op9_queries,
+    op10_queries,
+    op11_queries,
+    op12_queries,
+    op13_queries,
+)
 
-MODULES = (op1_queries, op2_queries, op3_queries, op4_queries, op5_queries, op6_queries, op7_queries, op8_queries, op9_queries, op10_queries)
+MODULES = (op1_queries, op2_queries, op3_queries, op4_queries, op5_queries, op6_queries, op7_queries, op8_queries,
+           op9_queries, op10_queries, op11_queries, op12_queries, op13_queries)
 
 
 def queries() -> dict:
