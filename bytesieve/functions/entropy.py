@@ -98,3 +98,36 @@ def histogram(data: Column, width: int) -> Column:
         return _lists(np.concatenate(out), pa.int32()) if out else pa.array([], pa.list_(pa.int32()))
 
     return run(data)
+
+
+def byte_features(data: Column, width: int, windows: int, *, normalize: bool = True, entropy: bool = True,
+                  histogram: bool = True) -> Column:
+    """One pass for all that is made of the padded bytes, as ARRAY<FLOAT>: the bytes, then the entropies of each window and
+    of the whole as shares of 8 bits, then the 256 shares of byte values. Window counts add up to the whole's."""
+
+    @F.arrow_udf("array<float>")
+    def run(values: pa.Array) -> pa.Array:
+        out = []
+        for s in _slices(values):
+            raw, starts, lengths = _flat(s)
+            n, take = len(starts), np.minimum(lengths, width)
+            rows = np.repeat(np.arange(n), take)
+            inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+            padded = np.zeros((n, width), np.uint8)
+            padded[rows, inner] = raw[np.repeat(starts, take) + inner]
+            parts = [(padded / 255.0 if normalize else padded).astype(np.float32)]
+            if entropy or histogram:
+                step = width // windows
+                at = np.arange(n)[:, None] * 256
+                count = lambda cells: np.bincount((at + cells).ravel(), minlength=n * 256).reshape(n, 256)
+                each = [count(padded[:, w * step:(w + 1) * step]) for w in range(windows)]
+                whole = sum(each) + (count(padded[:, windows * step:]) if windows * step < width else 0)
+                if entropy:
+                    bits = [_entropy(c, np.full(n, step)) for c in each] + [_entropy(whole, np.full(n, width))]
+                    parts.append((np.stack(bits, axis=1) / 8).astype(np.float32))
+                if histogram:
+                    parts.append((whole / float(width)).astype(np.float32))
+            out.append(np.concatenate(parts, axis=1))
+        return _lists(np.concatenate(out), pa.float32()) if out else pa.array([], pa.list_(pa.float32()))
+
+    return run(data)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytesieve import session
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -24,7 +25,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(named, on, how).drop(*["_r" + k for k in keys])
 
 
-def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
+def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], sizes: DataFrame | None = None) -> DataFrame:
     """Join a one-row-per-key table onto many rows per key.
 
     A key that owns more than a quarter of a task's fair share of the rows is salted by ``spread_by`` in proportion to
@@ -50,11 +51,11 @@ def with_density_bucket(df: DataFrame, key: str, order: str, out: str = "_bucket
                         rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add a bucket number along ``order`` that splits each key's span into as many equal parts as the key has
     multiples of ``rows`` rows: a dense key gets many, a sparse key one.  NULL order values come first."""
-    stats = df.groupBy(key).agg(F.count("*").alias("_rows"), F.min(order).alias("_low"), F.max(order).alias("_high"))
-    width = F.greatest((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / rows), F.lit(1.0))
-    stats = stats.select(key, "_low", width.alias("_width"))
-    return lookup(df, stats, [key], [order]).withColumn(
-        out, F.coalesce(F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("long"), F.lit(-1))).drop("_low", "_width")
+    stats = written(df.groupBy(key).agg(F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high")), "spans")
+    width = F.greatest((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / rows), F.lit(1.0))
+    out = F.coalesce(F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("long"), F.lit(-1)).alias(out)
+    met = lookup(df, stats.select(key, "_low", width.alias("_width")), [key], [order], stats.select(key, "_n"))
+    return met.select(*df.columns, out)
 
 
 def _grouped(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
@@ -89,26 +90,73 @@ def with_previous(
 
 def with_running_sum(
     df: DataFrame, keys: list[str], order: list[Column], amounts: dict[str, Column], bucket: Column,
+    maxima: dict[str, Column] | None = None, totals: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums along ``order``; ``bucket`` must follow it.
+    """Add inclusive running sums (and maxima) along ``order``, and ``totals`` of each key; ``bucket`` must follow the order.
 
     ``bucket`` is a whole number that never decreases along ``order``.  The
-    across-bucket window sees one row per bucket of a key.
+    across-bucket window sees one row per bucket of a key.  Rows are dealt out once, for the windows and their summary.
     """
-    rows = _grouped(df, keys, bucket)
-    names = list(amounts)
-    per = rows.groupBy("_g", "_b").agg(*[F.sum(amounts[n]).alias("_t_" + n) for n in names])
+    maxima, totals = maxima or {}, totals or {}
+    rows = _grouped(df, keys, bucket).repartition("_g", "_b")
+    per = rows.groupBy("_g", "_b").agg(*[F.sum(c).alias("_t_" + n) for n, c in (amounts | totals).items()],
+                                       *[F.max(c).alias("_t_" + n) for n, c in maxima.items()])
     across = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = per.select(
-        "_g", "_b", *[F.coalesce(F.sum("_t_" + n).over(across), F.lit(0)).alias("_p_" + n) for n in names])
+        "_g", "_b", *[F.coalesce(F.sum("_t_" + n).over(across), F.lit(0)).alias("_p_" + n) for n in amounts],
+        *[F.max("_t_" + n).over(across).alias("_p_" + n) for n in maxima],
+        *[F.sum("_t_" + n).over(Window.partitionBy("_g")).alias(n) for n in totals])
     inside = Window.partitionBy("_g", "_b").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return rows.join(before, ["_g", "_b"]).select(
         *df.columns,
-        *[(F.sum(amounts[n]).over(inside) + F.col("_p_" + n)).alias(n) for n in names],
+        *[(F.sum(c).over(inside) + F.col("_p_" + n)).alias(n) for n, c in amounts.items()],
+        *[F.greatest(F.max(c).over(inside), F.col("_p_" + n)).alias(n) for n, c in maxima.items()], *totals,
     )
 
 
+ROWS_PER_RANGE = 100_000
+
+
+def with_ranged_sum(df: DataFrame, order: list[Column], amounts: dict[str, Column], maxima: dict[str, Column] | None = None,
+                    rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """Inclusive running sums (and maxima) of a whole table along ``order``, whatever its size and values.
+
+    Two levels: a range exchange into as many parts as the table has multiples of ``rows`` rows, sums inside each, and one
+    summary row per part carried across.  The table is written once, so that the second look at it meets the same parts;
+    a table of one part is ordered in one task without an exchange by range.
+    """
+    spark, maxima = df.sparkSession, maxima or {}
+    kept = written(df, "ordered")
+    parts = max(1, -(-kept.count() // rows))
+    if parts > 1:
+        kept = written(kept.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    else:
+        kept = kept.withColumn("_part", F.lit(0))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = [*[F.sum(c).over(inside).alias(n) for n, c in amounts.items()], *[F.max(c).over(inside).alias(n) for n, c in maxima.items()]]
+    if parts == 1:
+        return kept.select(*df.columns, *local)
+    per = kept.groupBy("_part").agg(*[F.sum(c).alias("_t_" + n) for n, c in amounts.items()],
+                                    *[F.max(c).alias("_t_" + n) for n, c in maxima.items()])
+    across = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("_part", *[F.coalesce(F.sum("_t_" + n).over(across), F.lit(0)).alias("_p_" + n) for n in amounts],
+                        *[F.max("_t_" + n).over(across).alias("_p_" + n) for n in maxima])
+    if parts <= 1 << 20:  # as many rows
+        before = F.broadcast(before)
+    # parts stay apart: a hash of so few values would lay several on one task
+    whole = kept.repartitionByRange(parts, "_part").select("*", *local).join(before, "_part")
+    return whole.select(*df.columns, *[(F.col(n) + F.col("_p_" + n)).alias(n) for n in amounts],
+                        *[F.greatest(n, "_p_" + n).alias(n) for n in maxima])
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once below the work folder and read again."""
+    path = session.new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_tree(col: Column, cuts: list[float]) -> Column:
     """Index of the bucket a value falls in, as a balanced CASE tree."""
     def build(lo: int, hi: int) -> Column:

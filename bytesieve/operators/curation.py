@@ -60,8 +60,30 @@ def column_checks(df: DataFrame, required: tuple[str, ...] = ("label",)) -> Data
     return df.sparkSession.createDataFrame(rows, "check string, status string, detail string")
 
 
-def profile(df: DataFrame, features: str | None = "features", label: str = "label", keys: list[str] = ()) -> DataFrame:
-    """One scan: rows, missing cells, cells and feature extremes per class."""
+def _grouped(df: DataFrame, keys: list[str], by: str, total: str | None):
+    """Groups per (keys, by); with ``total`` also per ``by`` alone, from the same rows by grouping sets."""
+    if total is None or not keys:
+        return df.groupBy(*keys, by)
+    return df.groupingSets([[*keys, by], [by]], *keys, by)
+
+
+def _named_total(df: DataFrame, keys: list[str], total: str | None) -> DataFrame:
+    """The keys of the rows over all groups read ``total``; needs ``_set``, the grouping id."""
+    if total is None or not keys:
+        return df
+    return df.withColumns({k: F.when(F.col("_set") == 0, F.col(k)).otherwise(F.lit(total)) for k in keys}).drop("_set")
+
+
+def _grouping_id(keys: list[str], total: str | None) -> list[Column]:
+    return [F.grouping_id().alias("_set")] if total is not None and keys else []
+
+
+def profile(df: DataFrame, features: str | None = "features", label: str = "label", keys: list[str] = (),
+            total: str | None = None) -> DataFrame:
+    """One scan: rows, missing cells, cells and feature extremes per class (and per ``keys``, and in total).
+
+    The result is a row per class; it is written once, for every check reads it."""
+    keys = list(keys)
     src = df if features else as_array(df, validator_columns(df))
     arr = F.col(features or "features")
     extra = len([c for c in src.columns if c not in (features or "features", *keys)])
@@ -70,122 +92,155 @@ def profile(df: DataFrame, features: str | None = "features", label: str = "labe
         if c not in (features or "features", *keys):
             missing = missing + F.col(c).isNull().cast("int")
     seen = F.filter(arr, lambda x: x.isNotNull() & ~F.isnan(x))
-    return src.groupBy(*keys, label).agg(
-        F.count("*").alias("n"), F.sum(missing).alias("missing"), F.sum(F.coalesce(F.size(arr), F.lit(0)) + extra).alias("cells"),
-        F.count(F.when(arr.isNull(), 1)).alias("absent"), F.max(F.size(arr)).alias("width"),
-        F.min(F.array_min(seen)).alias("low"), F.max(F.array_max(seen)).alias("high"))
+    facts = src.select(*keys, label, missing.alias("_missing"), (F.coalesce(F.size(arr), F.lit(0)) + extra).alias("_cells"),
+                       arr.isNull().alias("_absent"), F.size(arr).alias("_width"),
+                       F.array_min(seen).alias("_low"), F.array_max(seen).alias("_high"))
+    out = _grouped(facts, keys, label, total).agg(
+        F.count("*").alias("n"), F.sum("_missing").alias("missing"), F.sum("_cells").alias("cells"),
+        F.count(F.when(F.col("_absent"), 1)).alias("absent"), F.max("_width").alias("width"),
+        F.min("_low").alias("low"), F.max("_high").alias("high"), *_grouping_id(keys, total))
+    return O.written(_named_total(out, keys, total), "profile")
+
+
+LISTED = 20
 
 
 def _overall(prof: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
-    bad = F.when(~F.coalesce(F.col(label).isin(rules.VALID_LABELS), F.lit(False)), F.col(label).cast("string"))
-    return prof.groupBy(*keys).agg(
+    """One row (per ``keys``) of a profile: sums over classes, and the labels, at most ``LISTED`` of either kind."""
+    keys = list(keys)
+    bad = ~F.coalesce(F.col(label).isin(rules.VALID_LABELS), F.lit(False))
+    o = prof.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         # a NULL vector lacks as many cells as the others have
         (F.sum("missing") + F.sum("absent") * F.coalesce(F.max("width"), F.lit(0))).alias("missing"),
         (F.sum("cells") + F.sum("absent") * F.coalesce(F.max("width"), F.lit(0))).alias("cells"),
         F.min("low").alias("low"), F.max("high").alias("high"),
         F.max("n").alias("largest"), F.min("n").alias("smallest"), F.count("*").alias("classes"),
-        F.array_join(F.sort_array(F.collect_set(F.col(label).cast("string"))), ", ").alias("labels"),
-        F.array_join(F.sort_array(F.collect_set(bad)), ", ").alias("invalid"))
+        F.count(F.when(bad, F.col(label))).alias("invalid_labels"))
+    named = prof.where(F.col(label).isNotNull()).select(*keys, F.col(label).cast("string").alias("_text"), bad.alias("_bad"))
+    first = named.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_bad").orderBy("_text"))).where(F.col("_at") <= LISTED)
+    some = lambda which: F.array_join(F.sort_array(F.collect_list(F.when(which, F.col("_text")))), ", ")
+    lists = first.withColumn("_one", F.lit(0)).groupBy(*keys, "_one").agg(
+        some(~F.col("_bad")).alias("labels"), some(F.col("_bad")).alias("invalid"))
+    out = O.null_safe_join(o.withColumn("_one", F.lit(0)), lists, [*keys, "_one"], "left").drop("_one")
+    more = F.when(F.col("invalid_labels") > LISTED, F.format_string(" and %d more", F.col("invalid_labels") - LISTED)).otherwise("")
+    return out.withColumn("invalid", F.concat(F.coalesce("invalid", F.lit("")), more)).fillna("", ["labels"])
+
+
+def _size_rows(minimum: int) -> Column:
+    bad = F.col("n") < minimum
+    return F.array(_row("Minimum samples", _status(bad, "error"), F.when(
+        bad, _fmt(f"Need {minimum}, got %d", F.col("n"))).otherwise(_fmt("%d samples", F.col("n")))))
 
 
 def size_check(o: DataFrame, minimum: int = rules.MIN_SAMPLES, keys: list[str] = ()) -> DataFrame:
-    bad = F.col("n") < minimum
-    return o.select(*keys, F.inline(F.array(_row("Minimum samples", _status(bad, "error"), F.when(
-        bad, _fmt(f"Need {minimum}, got %d", F.col("n"))).otherwise(_fmt("%d samples", F.col("n")))))))
+    return o.select(*keys, F.inline(_size_rows(minimum)))
 
 
-def label_check(o: DataFrame, keys: list[str] = ()) -> DataFrame:
-    bad = F.col("invalid") != ""
-    return o.select(*keys, F.inline(F.array(_row("Valid label values", _status(bad, "error"), F.when(
+def _label_rows() -> Column:
+    bad = F.col("invalid_labels") > 0
+    return F.array(_row("Valid label values", _status(bad, "error"), F.when(
         bad, _fmt("Invalid labels: {%s}. Expected: {0, 1}", F.col("invalid"))).otherwise(
-        _fmt("Found: {%s}", F.col("labels")))))))
+        _fmt("Found: {%s}", F.col("labels")))))
 
 
-def balance_checks(prof: DataFrame, o: DataFrame, label: str = "label", keys: list[str] = ()) -> DataFrame:
+def label_check(o: DataFrame, keys: list[str] = ()) -> DataFrame:
+    return o.select(*keys, F.inline(_label_rows()))
+
+
+def class_checks(prof: DataFrame, label: str = "label", keys: list[str] = ()) -> DataFrame:
     small = F.col("n") < rules.MIN_SAMPLES_PER_CLASS
-    per = prof.groupBy(*keys, label).agg(F.sum("n").alias("n")).select(*keys, F.inline(F.array(_row(
+    return prof.select(*keys, F.inline(F.array(_row(
         F.when(small, _fmt("Minimum samples for class %s", F.col(label).cast("string"))).otherwise(
             _fmt("Class %s sample count", F.col(label).cast("string"))), _status(small, "error"),
         F.when(small, _fmt(f"Got %d, need {rules.MIN_SAMPLES_PER_CLASS}", F.col("n"))).otherwise(
             _fmt("%d samples", F.col("n")))))))
+
+
+def _ratio_rows() -> Column:
     ratio = F.col("largest") / F.col("smallest")
     text = _fmt("%.1f", F.bround(ratio, 1))
     wide = ratio > rules.MAX_IMBALANCE
-    whole = o.where("classes >= 2").select(*keys, F.inline(F.array(_row(
+    rows = F.array(_row(
         F.when(wide, F.lit("Class imbalance")).otherwise(F.lit("Class balance")), _status(wide, "warning"),
         F.when(wide, F.concat(F.lit("Ratio: "), text, F.lit(f":1 (threshold: {rules.MAX_IMBALANCE}:1)")))
-        .otherwise(F.concat(F.lit("Ratio: "), text, F.lit(":1")))))))
-    return per.unionByName(whole)
+        .otherwise(F.concat(F.lit("Ratio: "), text, F.lit(":1")))))
+    return F.filter(rows, lambda _: F.col("classes") >= 2)
 
 
-def missing_check(o: DataFrame, keys: list[str] = ()) -> DataFrame:
+def balance_checks(prof: DataFrame, o: DataFrame, label: str = "label", keys: list[str] = ()) -> DataFrame:
+    return class_checks(prof, label, keys).unionByName(o.select(*keys, F.inline(_ratio_rows())))
+
+
+def _missing_rows() -> Column:
     share = F.coalesce(F.col("missing") / F.nullif(F.col("cells"), F.lit(0)), F.lit(0.0))
     some = F.col("missing") > 0
-    return o.select(*keys, F.inline(F.array(_row(
+    return F.array(_row(
         F.when(some, F.lit("Missing values")).otherwise(F.lit("No missing values")),
         F.when(share > rules.MAX_NAN_FRACTION, "error").when(some, "warning").otherwise("pass"),
         F.when(some, F.concat(_fmt("%d NaN values (", F.col("missing")), _fmt("%.2f", F.bround(share * 100, 2)),
-                              F.lit("% of data)"))).otherwise(F.lit(""))))))
+                              F.lit("% of data)"))).otherwise(F.lit(""))))
 
 
-def range_checks(o: DataFrame, keys: list[str] = ()) -> DataFrame:
+def missing_check(o: DataFrame, keys: list[str] = ()) -> DataFrame:
+    return o.select(*keys, F.inline(_missing_rows()))
+
+
+def _range_rows() -> Column:
     low, high = rules.FEATURE_RANGE
     four = lambda c: _fmt("%.4f", F.bround(F.col(c), 4))
     under, over = F.col("low") < low, F.col("high") > high
-    none = F.col("low").isNull()
-    rows = F.when(none, F.array(_row("Feature columns", F.lit("warning"), F.lit("No columns starting with 'f_' found")))).otherwise(F.array(
-        _row("Feature range minimum", _status(under, "warning"), F.when(
-            under, F.concat(F.lit("Min value "), four("low"), F.lit(" below expected 0.0"))).otherwise(
-            F.concat(F.lit("Min: "), four("low")))),
-        _row("Feature range maximum", _status(over, "warning"), F.when(
-            over, F.concat(F.lit("Max value "), four("high"), F.lit(" above expected 1.0"))).otherwise(
-            F.concat(F.lit("Max: "), four("high"))))))
-    return o.select(*keys, F.inline(rows))
-
-
-def duplicate_counts(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    return F.when(F.col("low").isNull(), F.array(
+        _row("Feature columns", F.lit("warning"), F.lit("No columns starting with 'f_' found")))).otherwise(F.array(
+            _row("Feature range minimum", _status(under, "warning"), F.when(
+                under, F.concat(F.lit("Min value "), four("low"), F.lit(" below expected 0.0"))).otherwise(
+                F.concat(F.lit("Min: "), four("low")))),
+            _row("Feature range maximum", _status(over, "warning"), F.when(
+                over, F.concat(F.lit("Max value "), four("high"), F.lit(" above expected 1.0"))).otherwise(
+                F.concat(F.lit("Max: "), four("high"))))))
+
+
+def range_checks(o: DataFrame, keys: list[str] = ()) -> DataFrame:
+    return o.select(*keys, F.inline(_range_rows()))
+
+
+def duplicate_counts(df: DataFrame, keys: list[str] = (), total: str | None = None) -> DataFrame:
     """Rows and full-row repeats.
 
     Rows are compared by a 128-bit hash of an encoding that tells NULL from a
     value and one array from the next, so the shuffle carries 16 bytes per row,
     and repeats collapse before it.
     """
+    keys = list(keys)
     cols = [c for c in df.columns if c not in keys]
-    return (
-        df.select(*keys, F.unhex(F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).cast("binary"))).alias("_h"))
-        .groupBy(*keys, "_h").agg(F.count("*").alias("n"))
-        .groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("duplicates"))
-    )
+    hashed = df.select(*keys, F.unhex(F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).cast("binary"))).alias("_h"))
+    same = _grouped(hashed, keys, "_h", total).agg(F.count("*").alias("n"), *_grouping_id(keys, total))
+    return _named_total(same, keys, total).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("duplicates"))
 
 
-def duplicate_check(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+def duplicate_check(df: DataFrame, keys: list[str] = (), total: str | None = None) -> DataFrame:
     d, share = F.col("duplicates"), F.col("duplicates") / F.col("n")
-    return duplicate_counts(df, keys).select(*keys, F.inline(F.array(_row(
+    return duplicate_counts(df, keys, total).select(*keys, F.inline(F.array(_row(
         F.when(d > 0, F.lit("Duplicate rows")).otherwise(F.lit("No duplicate rows")), _status(d > 0, "warning"),
         F.when(share > 0.1, F.concat(_fmt("%d duplicates (", d), _fmt("%.1f", F.bround(share * 100, 1)), F.lit("%)")))
         .when(d > 0, _fmt("%d duplicates", d)).otherwise(F.lit(""))))))
 
 
 def validate(df: DataFrame, features: str | None = "features", label: str = "label", *,
-             minimum: int = rules.MIN_SAMPLES, keys: list[str] = ()) -> DataFrame:
-    """Every check as rows of (check, status, detail), per ``keys`` if given.
+             minimum: int = rules.MIN_SAMPLES, keys: list[str] = (), total: str | None = None) -> DataFrame:
+    """Every check as rows of (check, status, detail), per ``keys`` if given, and with ``total`` over all groups too (their
+    keys then read ``total``).
 
-    Two scans: one profile per class, one hash pass for repeats.
+    Two scans: one profile per class, whose few rows every check but the last reads, and one hash pass for repeats.
     """
     if label not in df.columns:
         return column_checks(df, (label,))
     keys = list(keys)
-    prof = profile(df, features, label, keys)
+    prof = profile(df, features, label, keys, total)
     o = _overall(prof, label, keys)
-    parts = [size_check(o, minimum, keys), label_check(o, keys), balance_checks(prof, o, label, keys),
-             missing_check(o, keys), range_checks(o, keys), duplicate_check(df, keys)]
-    if not keys:
-        parts.insert(0, column_checks(df, (label,)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    whole = o.select(*keys, F.inline(F.concat(_size_rows(minimum), _label_rows(), _ratio_rows(), _missing_rows(), _range_rows())))
+    out = whole.unionByName(class_checks(prof, label, keys)).unionByName(duplicate_check(df, keys, total))
+    return out if keys else column_checks(df, (label,)).unionByName(out)
 
 
 def is_valid(checks: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -233,23 +288,31 @@ def sanitized(features: Column, *, clip: bool = True) -> Column:
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """rows / (classes * class rows); classes = largest label + 1, empty class 0."""
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), (F.max("label") + 1).alias("classes"))
-    every = total.select("total", "classes", F.explode(F.sequence(F.lit(0), F.col("classes") - 1)).alias("label"))
+    """rows / (classes * class rows); classes = largest label + 1, empty class 0.  Absent labels come from a range, so a
+    stray large label makes many rows but no large one."""
+    counts = O.written(df.groupBy(F.col(label).cast("long").alias("label")).agg(F.count("*").alias("n")), "class-sizes")
+    total, classes = counts.agg(F.sum("n"), F.max("label") + 1).first()
+    every = df.sparkSession.range(classes or 0).select(F.col("id").alias("label"))
+    kind = df.schema[label].dataType
     return every.join(counts, "label", "left").select(
-        "label", F.coalesce("n", F.lit(0)).alias("count"),
-        F.coalesce(F.col("total") / (F.col("classes") * F.col("n")), F.lit(0.0)).alias("weight"))
+        F.col("label").cast(kind).alias("label"), F.coalesce("n", F.lit(0)).alias("count"),
+        F.coalesce(F.lit(total) / (F.lit(classes) * F.col("n")), F.lit(0.0)).alias("weight"))
 
 
-def loader_stats(splits: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
-    """Rows per split, total, vector width and classes of the training split."""
+def loader_stats(splits: DataFrame, split: str = "split", label: str = "label", most_classes: int = 10_000) -> DataFrame:
+    """Rows per split, total, vector width, classes and class weights of the training split (one cell lists the weights,
+    so more than ``most_classes`` are refused)."""
     n = lambda s: F.count(F.when(F.col(split) == s, 1))
-    return splits.agg(
+    one = splits.agg(
         n("train").alias("train_samples"), n("val").alias("val_samples"), n("test").alias("test_samples"),
         F.count("*").alias("total_samples"),
         F.max(F.when(F.col(split) == "train", F.size("features"))).alias("feature_size"),
         (F.max(F.when(F.col(split) == "train", F.col(label))) + 1).alias("num_classes"))
+    weights = class_weights(splits.where(F.col(split) == "train").select(label), label)
+    if weights.count() > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
+    listed = weights.agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "weight"))), lambda w: w["weight"]).alias("w"))
+    return one.withColumn("class_weights", listed.scalar())
 
 
 # ------------------------------------------------------------ order and splits
@@ -259,15 +322,16 @@ def shuffle_key(*ids: str, seed: int = 42) -> Column:
 
 
 def with_position(df: DataFrame, ids: list[str], key: Column, bucket: Column, per: list[str] = (),
-                  out: str = "position") -> DataFrame:
-    """1-based position in ``key`` order, per group if given.
+                  out: str = "position", total: str | None = None) -> DataFrame:
+    """1-based position in ``key`` order, per group if given; ``total`` adds the rows of the group.
 
     Counted bucket by bucket, so neither the whole table nor a class holding a
     third of it is ever sorted in one task.
     """
     staged = df.withColumn("_k", key).withColumn("_one", F.lit(1).cast("long"))
     ranked = O.with_running_sum(
-        staged, list(per), [F.col("_k"), *[F.col(i) for i in ids]], {out: F.col("_one")}, bucket)
+        staged, list(per), [F.col("_k"), *[F.col(i) for i in ids]], {out: F.col("_one")}, bucket,
+        totals={total: F.col("_one")} if total else None)
     return ranked.drop("_k", "_one")
 
 
@@ -299,8 +363,7 @@ def split_stratified(df: DataFrame, ids: list[str], label: str = "label", key: C
     """The same cut inside every class, so class shares carry over."""
     _check_ratios(ratios)
     k = shuffle_key(*ids, seed=seed) if key is None else key
-    ranked = with_position(df, ids, k, unit_bucket() if bucket is None else bucket, [label])
-    ranked = O.lookup(ranked, class_sizes(df, label), [label], ["position"])
+    ranked = with_position(df, ids, k, unit_bucket() if bucket is None else bucket, [label], total="class_rows")
     n = F.col("class_rows")
     train, val = F.round(n * ratios[0]), F.round(n * (ratios[0] + ratios[1]))
     return ranked.withColumn(
@@ -359,9 +422,8 @@ def oversample(df: DataFrame, ids: list[str], label: str = "label", *, seed: int
     row must fill a large class.  Draws are counted per (class, position)
     before they are shuffled and meet each row once.
     """
-    sizes = class_sizes(df, label)
-    largest = sizes.agg(F.max("class_rows").alias("n")).scalar()
-    ranked = O.lookup(with_position(df, ids, shuffle_key(*ids, seed=seed), unit_bucket(), [label]), sizes, [label], ["position"])
+    largest = class_sizes(df, label).agg(F.max("class_rows").alias("n")).scalar()
+    ranked = with_position(df, ids, shuffle_key(*ids, seed=seed), unit_bucket(), [label], total="class_rows")
     n, extra = F.col("class_rows"), largest - F.col("class_rows")
     first = F.floor((F.col("position") - 1) * extra / n)
     last = F.floor(F.col("position") * extra / n)

@@ -91,21 +91,16 @@ def class_report(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ score curves
 
-def threshold_counts(df: DataFrame, y_true: str = "y_true", y_prob: str = "y_prob",
-                     buckets: int = 64) -> DataFrame:
+def threshold_counts(df: DataFrame, y_true: str = "y_true", y_prob: str = "y_prob", rows: int = O.ROWS_PER_RANGE) -> DataFrame:
     """Per distinct score: its positives/negatives and those at or above it.
 
     Equal scores collapse first (partial aggregation per task).  The running
-    sums then work inside score buckets cut at measured quantiles, so neither
+    sums then work in ranges of at most about ``rows`` distinct scores, so neither
     a popular score nor a crowded score range lands in one task.
     """
     per = df.groupBy(F.col(y_prob).alias("threshold")).agg(
         F.count(F.when(F.col(y_true) == 1, 1)).alias("pos"), F.count(F.when(F.col(y_true) == 0, 1)).alias("neg"))
-    cuts = O.value_cuts(per, "threshold", buckets)
-    out = O.with_running_sum(
-        per, [], [F.col("threshold").desc()], {"tp": F.col("pos"), "fp": F.col("neg")},
-        -O.cut_tree(F.col("threshold"), cuts))
-    return out
+    return O.with_ranged_sum(per, [F.col("threshold").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, rows=rows)
 
 
 def roc_curve(df: DataFrame, **kw) -> DataFrame:
@@ -151,9 +146,8 @@ def best_epoch(epochs: DataFrame) -> DataFrame:
 
 
 def running_best(epochs: DataFrame) -> DataFrame:
-    """Best accuracy so far.  One row per epoch, so one ordered task is enough."""
-    w = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return epochs.select("epoch", "accuracy", F.max("accuracy").over(w).alias("best_accuracy"))
+    """Best accuracy so far; long logs are ordered in ranges."""
+    return O.with_ranged_sum(epochs.select("epoch", "accuracy"), [F.col("epoch")], {}, {"best_accuracy": F.col("accuracy")})
 
 
 def metric_series(epochs: DataFrame, *metrics: str) -> DataFrame:

@@ -88,11 +88,8 @@ def with_features(
     """Add the full vector: raw bytes, then each switched-on part."""
     staged = df.withColumn("_kind", feature_type(F.col(header))).withColumn("_ext", dotted_extension(F.col(path)))
     h = F.col(header)
-    parts = [raw_vector(h, width)]
-    if entropy:
-        parts.append(entropy_vector(h, width).cast("array<float>"))
-    if histogram:
-        parts.append(histogram_vector(h, width))
+    # everything made of the bytes alone comes from one pass over them
+    parts = [E.byte_features(h, width, rules.ENTROPY_WINDOWS, entropy=entropy, histogram=histogram)]
     if metadata:
         parts.append(F.array(*metadata_values(h, F.col(size), F.col("_ext"), F.col("_kind"))).cast("array<float>"))
     return staged.withColumn(out, F.when(h.isNotNull(), F.concat(*parts))).drop("_kind", "_ext")

@@ -1,8 +1,11 @@
 """Training, scoring and score checks."""
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -41,6 +44,67 @@ def score(df: DataFrame, model, features: str = "features") -> DataFrame:
     return out.select(*df.columns, F.element_at(vector_to_array("probability"), 2).alias("score"))
 
 
+@dataclass
+class Linear:
+    """Weights of a logistic model, the bias first."""
+    weights: np.ndarray
+
+
+def _hessian_parts(df: DataFrame, features: str, label: str, weight: str, w: np.ndarray) -> np.ndarray:
+    """Sum over all rows of (gradient, Hessian) of the weighted log-loss: one row per task, added up by place."""
+    d = len(w)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.ones((batch.num_rows, d))
+            x[:, 1:] = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d - 1)
+            y, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            p = 1 / (1 + np.exp(-(x @ w)))
+            total[:, 0] += x.T @ (c * (p - y))
+            total[:, 1:] += (x * (c * p * (1 - p))[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * (d + 1))), pa.array(total.ravel())], names=["at", "v"])
+
+    rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"),
+                     F.col(weight).cast("double").alias("c")).mapInArrow(of, "at long, v double")
+    got = rows.groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(d * (d + 1))
+    out[got["at"].to_numpy()] = got["v"].to_numpy()
+    return out.reshape(d, d + 1)
+
+
+def newton(df: DataFrame, features: str = "features", label: str = "label", weight: str | None = None, *,
+           steps: int = 8, ridge: float = 1.0, most: int = 1024) -> Linear:
+    """Logistic regression by Newton's method: each step is one aggregation of gradient and Hessian over all rows.
+
+    The driver solves a system as wide as the features (refused beyond ``most``), never sees a row, and holds nothing that
+    grows with them.  ``ridge`` pulls every weight but the bias towards zero, so separable classes converge too.
+    """
+    df = df.withColumn("_c", F.lit(1.0) if weight is None else F.col(weight))
+    width = df.select(F.max(F.size(features))).first()[0] or 0
+    if width > most:
+        raise ValueError(f"{width} features are more than {most}")
+    w = np.zeros(width + 1)
+    pull = np.full(width + 1, ridge)
+    pull[0] = 0
+    for _ in range(steps):
+        parts = _hessian_parts(df, features, label, "_c", w)
+        h = parts[:, 1:] + np.diag(pull)
+        if not h[0, 0]:
+            break  # no rows
+        w = w - np.linalg.solve(h, parts[:, 0] + pull * w)
+    return Linear(w)
+
+
+def linear_score(df: DataFrame, model: Linear, features: str = "features") -> DataFrame:
+    """Add ``score`` (probability of class 1) without leaving generated code."""
+    terms = F.zip_with(F.col(features).cast("array<double>"), F.array(*[F.lit(float(v)) for v in model.weights[1:]]), lambda a, b: a * b)
+    z = F.aggregate(terms, F.lit(float(model.weights[0])), lambda a, x: a + x)
+    return df.withColumn("score", 1 / (1 + F.exp(-z)))
+
+
 def score_with(df: DataFrame, load: Callable[[], Callable], features: str = "features", batch: int = 1024) -> DataFrame:
     """Add logits of a supplied scorer: loaded once per task, fed whole batches.
 
@@ -112,18 +176,17 @@ def score_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str], limit:
 
 # ------------------------------------------------------------ timings and importance
 
-def exact_percentile(df: DataFrame, value: str, share: float, buckets: int = 64) -> DataFrame:
+def exact_percentile(df: DataFrame, value: str, share: float, rows: int = O.ROWS_PER_RANGE) -> DataFrame:
     """One row: the linearly interpolated percentile.
 
     Spark's ``percentile`` gathers every distinct value in one task.  Here the
-    values are counted, cumulated in quantile buckets, and only the two
+    values are counted, cumulated in ranges, and only the two
     neighbours of the wanted position are kept.
     """
     per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    cum = O.with_running_sum(per, [], [F.col(value)], {"_upto": F.col("_c")},
-                             O.cut_tree(F.col(value), O.value_cuts(per, value, buckets)))
+    cum = O.with_ranged_sum(per, [F.col(value)], {"_upto": F.col("_c")}, rows=rows)
     at = F.lit(share) * (F.col("_n") - 1)
-    placed = cum.withColumn("_n", per.agg(F.sum("_c").alias("n")).scalar())
+    placed = cum.withColumn("_n", cum.agg(F.max("_upto").alias("n")).scalar())
     low = F.min(F.when(F.col("_upto") >= F.floor(at) + 1, F.col(value)))
     high = F.min(F.when(F.col("_upto") >= F.ceil(at) + 1, F.col(value)))
     one = placed.agg(low.alias("_lo"), high.alias("_hi"), F.max("_n").alias("_n"))

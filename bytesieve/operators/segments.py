@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bytesieve import rules
 from bytesieve.functions import bytesx as B
 from bytesieve.functions import ordered as O
+from bytesieve.functions.automaton import cleaned, scanned
 from bytesieve.operators import dims
 
 Rule = rules.FilterRule
@@ -45,9 +49,22 @@ def track_decisions(tracks: DataFrame, kind: str = "track_kind") -> DataFrame:
 
 # ------------------------------------------------------------ rules
 
-def rules_from(df: DataFrame) -> list[Rule]:
-    """User rules from a (name, pattern, severity, action) table, in ``ord`` order."""
-    return [Rule(r["name"], bytes(r["pattern"]), r["severity"], r["action"]) for r in df.orderBy("ord").collect()]
+def rules_from(df: DataFrame, most: int = 100_000, most_bytes: int = 1 << 24) -> list[Rule]:
+    """User rules from a (ord, name, pattern, severity, action) table, in ``ord`` order.  Every task needs them all, so
+    a table beyond ``most`` rows or ``most_bytes`` of patterns is refused before it is fetched."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
+    if n > most or size > most_bytes:
+        raise ValueError(f"{n} rules with {size} bytes of patterns are more than {most} or {most_bytes}")
+    return [Rule(r["name"], bytes(r["pattern"]), r["severity"], r["action"])
+            for r in df.where(F.col("pattern").isNotNull()).orderBy("ord").collect()]
+
+
+def scan_rules(df: DataFrame, rule_set: list[Rule], data: str = "data") -> DataFrame:
+    """Any number of rules in one pass over the bytes: add ``rule_hits`` (rule and first position, in rule order),
+    ``blocked_by`` and ``filtered``, as the rule-by-rule forms below define them."""
+    made = df.withColumn("_scan", scanned(F.col(data), rule_set))
+    return made.select(*df.columns, F.coalesce("_scan.hits", F.array().cast("array<struct<rule:string,at:bigint>>")).alias("rule_hits"),
+                       F.col("_scan.blocked_by").alias("blocked_by"), F.coalesce("_scan.filtered", data).alias("filtered"))
 
 
 def _active(rule_set: list[Rule]) -> list[Rule]:
@@ -134,20 +151,22 @@ def filter_segments(df: DataFrame, rule_set: list[Rule] = DEFAULT, data: str = "
     """Segment mode: add ``is_clean``, ``issues`` and ``clean_data``.
 
     Oversize and blocked segments keep their bytes and turn dirty; the others
-    are transport-repaired where they look like transport packets.
+    are transport-repaired where they look like transport packets.  All of it takes one pass over the bytes.
     """
-    size = F.octet_length(F.col(data))
-    big = size > max_size
-    out = with_filtered(df, rule_set, data).withColumn("_big", big)
-    repaired = ts_repaired(F.col("filtered"), rule_set) if _active(rule_set) else F.col("filtered")
-    return out.select(
+    size, raw = F.octet_length(F.col(data)), F.col(data)
+    active = _active(rule_set)
+    by, clean = F.lit(None).cast("string"), raw
+    staged = df.withColumn("_big", size > max_size)
+    if active:
+        staged = staged.withColumn("_made", cleaned(raw, active))
+        by, clean = F.col("_made.blocked_by"), F.coalesce("_made.clean", raw)
+    return staged.select(
         *df.columns,
-        (~F.col("_big") & F.col("blocked_by").isNull()).alias("is_clean"),
+        (~F.col("_big") & by.isNull()).alias("is_clean"),
         F.when(F.col("_big"), F.array(F.format_string("Segment too large: %d bytes", size)))
-        .when(F.col("blocked_by").isNotNull(), F.array(F.concat(F.lit("Blocked by rule: "), F.col("blocked_by"))))
+        .when(by.isNotNull(), F.array(F.concat(F.lit("Blocked by rule: "), by)))
         .otherwise(F.array().cast("array<string>")).alias("issues"),
-        F.when(F.col("_big"), F.col(data)).when(F.col("blocked_by").isNotNull(), F.col("filtered"))
-        .when(is_ts(F.col("filtered")), repaired).otherwise(F.col("filtered")).alias("clean_data"),
+        F.when(F.col("_big"), raw).otherwise(clean).alias("clean_data"),
     )
 
 
@@ -269,17 +288,119 @@ def reassemble(df: DataFrame, key: str = "stream_id", idx: str = "idx",
     return out.withColumn("state", F.when(F.col(idx) < F.col("next_idx"), "written").otherwise("waiting"))
 
 
-def reassembly_summary(df: DataFrame, key: str = "stream_id", idx: str = "idx",
+def _when(idx: str, arrival: str) -> Column:
+    """The order of arrivals: equal ones go by index."""
+    return F.struct(F.col(arrival).cast("long").alias("at"), F.col(idx).cast("long").alias("i"))
+
+
+def releases(df: DataFrame, key: str = "stream_id", idx: str = "idx", arrival: str = "arrival") -> DataFrame:
+    """(key, idx, at, freed) per distinct piece: its first arrival, and the arrival with which it is written: the last of
+    all first arrivals up to its index, or NULL while a smaller index is missing.
+
+    All smaller indices are there where index and running count agree, so gaps need no look-up of their own.
+    """
+    first = df.where(F.col(idx) >= 0).groupBy(key, F.col(idx).cast("long").alias(idx)).agg(F.min(_when(idx, arrival)).alias("at"))
+    out = O.with_running_sum(first, [key], [F.col(idx)], {"_n": F.lit(1)}, F.floor(F.col(idx) / 256), {"_last": F.col("at")})
+    return out.select(key, idx, "at", F.when(F.col("_n") == F.col(idx) + 1, F.col("_last")).alias("freed"))
+
+
+def occupancy(df: DataFrame, released: DataFrame, key: str = "stream_id", idx: str = "idx", arrival: str = "arrival") -> DataFrame:
+    """(key, idx, at, held): for every arrival that has to wait, how many pieces wait already.
+
+    Arrivals that wait count one up, releases one down; a running sum along the arrivals is the occupancy.  It holds up
+    to the first time that a buffer is too small, for then a piece is lost.
+    """
+    waits = released.where("freed is null or freed > at")
+    every = df.select(key, F.col(idx).cast("long").alias(idx), _when(idx, arrival).alias("again"))
+    again = O.null_safe_join(waits, every, [key, idx]).where("at < again and (freed is null or again < freed)")
+    events = (waits.select(key, idx, "at", F.lit(1).alias("_change"))
+              .unionByName(again.select(key, idx, F.col("again").alias("at"), F.lit(0).alias("_change")))
+              .unionByName(waits.where("freed is not null").select(
+                  key, F.lit(None).cast("long").alias(idx), F.col("freed").alias("at"), F.lit(-1).alias("_change"))))
+    events = O.with_density_bucket(events.withColumn("_at", F.col("at.at")), key, "_at")
+    level = O.with_running_sum(events, [key], [F.col("at"), F.col("_change")], {"_level": F.col("_change")}, F.col("_bucket"))
+    return level.where(F.col(idx).isNotNull()).select(key, idx, "at", (F.col("_level") - F.col("_change")).alias("held"))
+
+
+_REPLAYED = "next_idx long, written long, bytes_written long, waiting long, dropped long"
+
+
+def replayed(df: DataFrame, key: str = "stream_id", idx: str = "idx", arrival: str = "arrival", length: str = "length",
+             max_waiting: int = rules.MAX_BUFFERED_SEGMENTS) -> DataFrame:
+    """Streams written piece by piece as they arrive; per stream: next_idx, written, bytes_written, waiting, dropped.
+
+    After a full buffer has lost a piece, what follows depends on every piece before it, so a stream is replayed in one
+    task, row by row from narrow sorted rows; a task holds the lengths of at most ``max_waiting`` pieces.
+    """
+    key_type = df.schema[key].dataType.simpleString()
+
+    def of(batches):
+        at, state = (), None
+
+        def row():
+            held = state["held"]
+            return (*at, state["next"], state["next"], state["bytes"], len(held), state["dropped"])
+
+        for batch in batches:
+            done = []
+            for k, i, n in zip(*[batch.column(c).to_pylist() for c in (key, idx, length)], strict=True):
+                if (k,) != at:
+                    if state is not None:
+                        done.append(row())
+                    at, state = (k,), {"next": 0, "bytes": 0, "held": {}, "dropped": 0}
+                if i > state["next"]:
+                    if len(state["held"]) < max_waiting:
+                        state["held"][i] = n
+                    else:
+                        state["dropped"] += 1
+                elif i == state["next"]:
+                    state["held"][i] = n
+                    while state["next"] in state["held"]:
+                        state["bytes"] += state["held"].pop(state["next"])
+                        state["next"] += 1
+            if done:
+                yield made(done)
+        if state is not None:
+            yield made([row()])
+
+    def made(rows):
+        names = [key, *[f.split()[0] for f in _REPLAYED.split(", ")]]
+        return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
+
+    schema = to_arrow_schema(T.StructType.fromDDL(f"`{key}` {key_type}, {_REPLAYED}"))
+    rows = df.select(key, F.col(idx).cast("long").alias(idx), F.col(arrival).cast("long").alias(arrival), F.col(length).cast("long").alias(length))
+    # by a hash of the key: an exchange on the key alone is dropped after a join on it, and the join may lose that order
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, arrival, idx).mapInArrow(of, f"`{key}` {key_type}, {_REPLAYED}")
+
+
+def reassembly_summary(df: DataFrame, key: str = "stream_id", idx: str = "idx", arrival: str = "arrival",
                        max_waiting: int = rules.MAX_BUFFERED_SEGMENTS) -> DataFrame:
-    """Per stream: contiguous length, bytes released, waiting segments, overflow."""
-    narrow = df.select(key, idx, F.octet_length("data").cast("long").alias("length"))
-    s = reassemble(arrivals(narrow, key, idx), key, idx)
-    wrote = F.col("state") == "written"
-    return s.groupBy(key).agg(
-        F.max("next_idx").alias("next_idx"), F.count(F.when(wrote, 1)).alias("written"),
+    """Per stream: contiguous length, pieces and bytes released, pieces waiting, pieces dropped, and overflow: whether a
+    piece came while ``max_waiting`` others waited.  A repeat replaces a piece that still waits.
+
+    Where no buffer overflows the outcome follows from :func:`releases`.  Only a stream of more than ``max_waiting`` pieces
+    can overflow; those that do by :func:`occupancy` are replayed.
+    """
+    narrow = df.select(key, idx, arrival, F.octet_length("data").cast("long").alias("length"))
+    released = releases(narrow, key, idx, arrival)
+    sized = narrow.select(key, F.col(idx).cast("long").alias(idx), _when(idx, arrival).alias("came"), "length")
+    pieces = O.null_safe_join(released, sized, [key, idx]).where("freed is null or came <= freed").groupBy(key, idx).agg(
+        F.max("freed").alias("freed"), F.max_by("length", "came").alias("length"))
+    wrote = F.col("freed").isNotNull()
+    calm = pieces.groupBy(key).agg(
+        F.coalesce(F.max(F.when(wrote, F.col(idx) + 1)), F.lit(0)).alias("next_idx"), F.count(F.when(wrote, 1)).alias("written"),
         F.sum(F.when(wrote, F.col("length")).otherwise(0)).cast("long").alias("bytes_written"),
-        F.count(F.when(~wrote, 1)).alias("waiting"),
-        (F.count(F.when(~wrote, 1)) > max_waiting).alias("overflow"))
+        F.count(F.when(~wrote, 1)).alias("waiting"))
+    many = O.written(narrow.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max_waiting).select(key), "crowded")
+    none = [F.lit(0).cast("long").alias("dropped"), F.lit(False).alias("overflow")]
+    if many.isEmpty():
+        return calm.select("*", *none)
+    crowded = narrow.join(many, key, "left_semi")
+    over = occupancy(crowded, releases(crowded, key, idx, arrival), key, idx, arrival)
+    over = O.written(over.where(F.col("held") >= max_waiting).select(key).distinct(), "overflows")
+    calm = calm.join(over, key, "left_anti").select("*", *none)
+    full = replayed(narrow.join(over, key, "left_semi"), key, idx, arrival, max_waiting=max_waiting)
+    return calm.unionByName(full.withColumn("overflow", F.lit(True)))
 
 
 def with_offsets(df: DataFrame, key: str = "stream_id", idx: str = "idx", length: str = "length",
@@ -316,20 +437,20 @@ def ordered_rows(df: DataFrame, key: str = "stream_id", idx: str = "idx") -> Dat
 
 # ------------------------------------------------------------ accounting
 
-def hls_stats(filtered: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Stream counters from :func:`filter_segments` output.
+def hls_stats(filtered: DataFrame, key: str = "stream_id", window: Column | None = None) -> DataFrame:
+    """Stream counters from :func:`filter_segments` output; per ``window`` of a stream where one is given.
 
     Received bytes are counted after removal, as the segment path does.
     A NULL ``clean_data`` is a failed fetch: blocked, no bytes.
     """
     size = F.coalesce(F.octet_length("clean_data"), F.lit(0)).cast("long")
     ok = F.col("is_clean") & F.col("clean_data").isNotNull()
-    out = filtered.groupBy(key).agg(
+    out = filtered.groupBy(key, *([] if window is None else [window.alias("_w")])).agg(
         F.count("*").alias("total_segments"), F.count(F.when(ok, 1)).alias("clean_segments"),
         F.count(F.when(~ok, 1)).alias("blocked_segments"), F.sum(size).alias("bytes_received"),
         F.sum(F.when(ok, size).otherwise(0)).alias("bytes_written"),
         F.sum(F.when(~ok, size).otherwise(0)).alias("bytes_saved"), F.sum("duration").alias("duration_secs"))
-    return out.withColumn("bytes_saved_pct", saved_pct(F.col("bytes_saved"), F.col("bytes_received")))
+    return out.drop("_w").withColumn("bytes_saved_pct", saved_pct(F.col("bytes_saved"), F.col("bytes_received")))
 
 
 def chunk_stats(chunks: DataFrame, key: str = "stream_id", data: str = "data") -> DataFrame:

@@ -158,6 +158,24 @@ def val_all_splits(spark, sf):
     return per.unionByName(per.agg(F.lit("all").alias("split"), F.bool_and("is_valid").alias("is_valid")))
 
 
+def _of_split(name: str, which: str) -> str:
+    """The whole report of one part of the table."""
+    start = cte("labelled")
+    body = start[len("with labelled as ("):].rstrip()
+    part = f"with labelled as (select * from ({body[:-1]}) where {which}), " + _REPORT[len(start):].lstrip(" ,\n")
+    return f"""select '{name}' as split, * from ({part} select "check", status, detail from chk where "check" not like 'Column%')"""
+
+
+@query("val_splits_report", " union all ".join(_of_split(n, w) for n, w in (
+    ("train", "id % 3 = 0"), ("val", "id % 3 = 1"), ("test", "id % 3 = 2"), ("total", "true"))))
+def val_splits_report(spark, sf):
+    """Every check of every split and of all rows, from one profile by grouping sets and one pass for repeats."""
+    df = labelled(spark, sf).select(
+        F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("id") % 3 + 1).cast("int")).alias("split"),
+        "features", "label")
+    return cu.validate(df, keys=["split"], total="total")
+
+
 @query("sanitize", _L + """select id, round(list_sum(f), 6) as total, round(list_min(f), 6) as low, round(list_max(f), 6) as high,
   len(list_filter(f, lambda x: x = 0)) as zeros from s""")
 def sanitize(spark, sf):
@@ -182,10 +200,12 @@ def class_weights_multi(spark, sf):
 
 
 @query("loader_stats", _L + """select count(*) filter (id % 3 = 0) as train_samples, count(*) filter (id % 3 = 1) as val_samples,
-  count(*) filter (id % 3 = 2) as test_samples, count(*) as total_samples, 64 as feature_size, 2 as num_classes from labelled""")
+  count(*) filter (id % 3 = 2) as test_samples, count(*) as total_samples, 64 as feature_size, 2 as num_classes,
+  (select string_agg(printf('%.6f', (select count(*) from labelled where id % 3 = 0) / (2 * n)::double), ',' order by label)
+   from (select label, count(*) as n from labelled where id % 3 = 0 group by 1)) as class_weights from labelled""")
 def loader_stats(spark, sf):
     df = labelled(spark, sf).withColumn("split", F.when(F.col("id") % 3 == 0, "train").when(F.col("id") % 3 == 1, "val").otherwise("test"))
-    return cu.loader_stats(df)
+    return cu.loader_stats(df).withColumn("class_weights", F.array_join(F.transform("class_weights", lambda w: F.format_string("%.6f", w)), ","))
 
 
 _BUCKET = "floor(_k / 64)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bytesieve import rules, session
 from bytesieve.functions import bytesx as B
+from bytesieve.operators import hls
 from bytesieve.operators import playlists as pl
 from bytesieve.operators import segments as sg
 from bytesieve.plans import duck as D
@@ -193,6 +194,35 @@ def custom_rules(spark, sf):
                      F.array_join("rule_hits", "|").alias("custom_hits"))
 
 
+# Every word of at least five letters in the benchmark is a rule; its digest gives its place and what it does.
+_WORD_RULES = """, q as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) as name from benchmark),
+  rl as (select list({'name': name, 'pat': """ + D.spaced_hex("encode(name)") + """, 'act': case when md5(name) < '1' then 'B' when md5(name) < '8' then 'R' else 'L' end}
+    order by md5(name)) as rl from q)"""
+
+
+def word_rules(spark, sf):
+    words = given(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("name"))
+    place = F.md5("name")
+    action = F.when(place < "1", "BlockSegment").when(place < "8", "RemoveBytes").otherwise("LogOnly")
+    return words.distinct().select(place.alias("ord"), "name", F.encode("name", "UTF-8").alias("pattern"),
+                                   F.lit("Low").alias("severity"), action.alias("action"))
+
+
+@query("rule_table", SEG + _WORD_RULES + """, r as (select stream_id, idx, list_filter(list_transform(rl, lambda r:
+      case when contains(hx, r.pat) then concat(r.name, '@', (instr(hx, r.pat) - 1) // 3) end), lambda h: h is not null) as hits,
+    list_reduce(list_concat([{'x': hx, 'by': null::varchar, 'name': '', 'pat': '', 'act': ''}],
+        list_transform(rl, lambda r: {'x': '', 'by': null::varchar, 'name': r.name, 'pat': r.pat, 'act': r.act})),
+      lambda s, r: case when s.by is not null or not contains(s.x, r.pat) then s when r.act = 'B' then struct_update(s, by := r.name)
+        when r.act = 'R' then struct_update(s, x := replace(s.x, r.pat, '')) else s end) as o
+  from s0, rl)
+  select stream_id, idx, o.by as blocked_by, md5(""" + _blob("o.x") + """) as digest, array_to_string(hits, '|') as hits from r""")
+def rule_table(spark, sf):
+    """Hundreds of rules from a table, with removals, notes and blocks in order, in one pass over the bytes."""
+    df = sg.scan_rules(segs(spark, sf), sg.rules_from(word_rules(spark, sf)))
+    return df.select("stream_id", "idx", "blocked_by", digest(F.col("filtered")).alias("digest"), F.array_join(
+        F.transform("rule_hits", lambda h: F.concat(h["rule"], F.lit("@"), h["at"].cast("string"))), "|").alias("hits"))
+
+
 @query("filter_disabled", SEG + "select stream_id, idx, true as is_clean, md5(data) as digest from s0")
 def filter_disabled(spark, sf):
     """An empty rule set switches filtering off."""
@@ -254,15 +284,23 @@ def clean_dispatch(spark, sf):
         "stream_id", "idx", "route", "is_clean", digest(F.col("clean_data")).alias("digest"))
 
 
-# Gaps: turns whose (conv_id * 7 + turn) % 11 = 0 never arrived.
-_GAP = cte("segments") + """, a as (select stream_id, idx, data from segments where (stream_id * 7 + idx) % 11 <> 0),
+# Gaps: turns whose (conv_id * 7 + turn) % 11 = 0 never arrived; the others come out of order, some twice.
+_GAP = cte("segments") + """, a as (select stream_id, idx, data, (idx * 5 + stream_id) % 8 as arrival from segments where (stream_id * 7 + idx) % 11 <> 0),
   m as (select *, idx - row_number() over (partition by stream_id order by idx) + 1 as lag from a),
   g as (select stream_id, count(*) filter (lag = 0) as next_idx from m group by 1)
 """
 
 
 def arrived(spark, sf):
-    return segs(spark, sf).where("(stream_id * 7 + idx) % 11 <> 0").select("stream_id", "idx", "data")
+    return segs(spark, sf).where("(stream_id * 7 + idx) % 11 <> 0").select(
+        "stream_id", "idx", "data", ((F.col("idx") * 5 + F.col("stream_id")) % 8).alias("arrival"))
+
+
+def repeated(df):
+    """Every fifth piece comes again later, a byte shorter."""
+    twice = df.where("(stream_id + idx) % 5 = 0").select(
+        "stream_id", "idx", F.expr("substring(data, 2)").alias("data"), (F.col("arrival") + 3).alias("arrival"))
+    return df.unionByName(twice)
 
 
 @query("segment_reassembly", _GAP + """select stream_id, g.next_idx, count(*) filter (idx < next_idx) as written,
@@ -270,7 +308,32 @@ def arrived(spark, sf):
   count(*) filter (idx >= next_idx) > 10 as overflow from a join g using (stream_id) group by 1, 2""")
 def segment_reassembly(spark, sf):
     """Lost segments leave gaps; only the run before the first gap is written."""
-    return sg.reassembly_summary(arrived(spark, sf))
+    return sg.reassembly_summary(arrived(spark, sf)).drop("dropped")
+
+
+# One row per arrival, played in order; held pieces and their lengths are a list, the buffer holds two.
+_PLAYED = _GAP + """, w as (select stream_id, idx, octet_length(data) as n, arrival from a
+    union all select stream_id, idx, greatest(octet_length(data) - 1, 0), arrival + 3 from a where (stream_id + idx) % 5 = 0),
+  l as (select stream_id, list({'i': idx::bigint, 'n': n::bigint} order by arrival, idx) as w from w group by 1),
+  r as (select stream_id, list_reduce(
+    list_concat([{'next': 0::bigint, 'bytes': 0::bigint, 'lost': 0::bigint, 'held': []::struct(i bigint, n bigint)[], 'i': -1::bigint, 'n': 0::bigint}],
+      list_transform(w, lambda p: {'next': 0::bigint, 'bytes': 0::bigint, 'lost': 0::bigint, 'held': []::struct(i bigint, n bigint)[], 'i': p.i, 'n': p.n})),
+    lambda s, p: case
+      when p.i < s.next then s
+      when p.i > s.next and len(s.held) >= 2 then struct_update(s, lost := s.lost + 1)
+      when p.i > s.next then struct_update(s, held := list_append(list_filter(s.held, lambda h: h.i <> p.i), {'i': p.i, 'n': p.n}))
+      else struct_update(s, bytes := s.bytes + p.n + coalesce(list_sum(list_transform(list_filter(s.held, lambda h:
+             len(list_filter(s.held, lambda o: o.i <= h.i)) = h.i - p.i), lambda h: h.n)), 0)::bigint,
+           next := p.i + 1 + len(list_filter(s.held, lambda h: len(list_filter(s.held, lambda o: o.i <= h.i)) = h.i - p.i)),
+           held := list_filter(s.held, lambda h: len(list_filter(s.held, lambda o: o.i <= h.i)) <> h.i - p.i)) end) as s from l)
+"""
+
+
+@query("reassembly_overflow", _PLAYED + """select stream_id, s.next as next_idx, s.next as written, s.bytes as bytes_written,
+  len(s.held) as waiting, s.lost as dropped, s.lost > 0 as overflow from r""")
+def reassembly_overflow(spark, sf):
+    """Repeats and a buffer of two pieces, which many streams overflow."""
+    return sg.reassembly_summary(repeated(arrived(spark, sf)), max_waiting=2)
 
 
 @query("segment_states", _GAP + """select stream_id, idx, case when idx < next_idx then 'written' else 'waiting' end as state
@@ -345,3 +408,66 @@ def best_variant(spark, sf):
 def playlist_kind(spark, sf):
     both = table(spark, sf, "masters").unionByName(table(spark, sf, "playlists"))
     return pl.resolve(both).select("playlist_id", "kind", "media_url")
+
+
+# ------------------------------------------------------------ from playlist to output
+
+# Every conversation is a stream. Its top playlist is a master; every third leads to another master first; for every
+# eleventh the media playlist is lost, and single segments are lost as in segment_reassembly.
+def _hls_docs(dialect: str) -> str:
+    line = "concat('#EXTINF:', cast(duration as {}), ',', chr(10), 'seg', idx, '.ts')".format("string" if dialect == "spark" else "varchar")
+    if dialect == "spark":
+        listed = f"array_join(transform(sort_array(collect_list(struct(idx, {line} as line))), x -> x.line), chr(10))"
+    else:
+        listed = f"string_agg({line}, chr(10) order by idx)"
+    head = "concat('#EXTM3U', chr(10), '#EXT-X-STREAM-INF:BANDWIDTH=100', chr(10), 'lost.m3u8', chr(10), '#EXT-X-STREAM-INF:BANDWIDTH=900,CODECS=x', chr(10), {})"
+    return f"""
+      select concat('https://m.example.com/', stream_id, '/top.m3u8') as url,
+        {head.format("case when stream_id % 3 = 0 then 'mid/index.m3u8' else 'media.m3u8' end")} as content from ids
+      union all select concat('https://m.example.com/', stream_id, '/mid/index.m3u8'),
+        {head.format("concat('https://m.example.com/', stream_id, '/media.m3u8')")} from ids where stream_id % 3 = 0
+      union all select concat('https://m.example.com/', stream_id, '/media.m3u8'), concat('#EXTM3U', chr(10), {listed})
+        from segs where stream_id % 11 <> 5 group by stream_id"""
+
+
+def hls_inputs(spark, sf):
+    found = segs(spark, sf)
+    streams = found.select("stream_id").distinct()
+    documents = spark.sql(_hls_docs("spark").replace("from ids", "from {ids}").replace("from segs", "from {segs}"), ids=streams, segs=found)
+    bodies = found.where("(stream_id * 7 + idx) % 11 <> 0").select(
+        F.concat(F.lit("https://m.example.com/"), "stream_id", F.lit("/seg"), "idx", F.lit(".ts")).alias("url"), "data")
+    return streams.withColumn("url", F.concat(F.lit("https://m.example.com/"), "stream_id", F.lit("/top.m3u8"))), documents, bodies
+
+
+_WHOLE = SEG.replace("with ", "with recursive ", 1) + f""", ids as (select distinct stream_id from segments), docs as ({_hls_docs("duck").replace("from segs", "from segments")}),
+  dl as (select url, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as ln from docs),
+  nx as (select url, arg_max(nxt, bw) as nxt from (select url, lead(line) over (partition by url order by ln) as nxt,
+      try_cast(regexp_extract(line, 'BANDWIDTH=([0-9]+)', 1) as bigint) as bw from dl) where bw > 0 group by 1),
+  hop as (select stream_id, concat('https://m.example.com/', stream_id, '/top.m3u8') as url from ids
+    union all select stream_id, case when starts_with(nxt, 'http') then nxt else concat(regexp_replace(hop.url, '/[^/]*$', ''), '/', nxt) end
+      from hop join nx on nx.url = hop.url),
+  en as (select stream_id, concat(regexp_replace(hop.url, '/[^/]*$', ''), '/', line) as url,
+      row_number() over (partition by stream_id order by ln) - 1 as idx from hop join dl on dl.url = hop.url
+      where starts_with(line, 'seg') and hop.url not in (select url from nx)),
+  bd as (select *, concat('https://m.example.com/', stream_id, '/seg', idx, '.ts') as at from s where (stream_id * 7 + idx) % 11 <> 0),
+  x as (select en.stream_id, en.idx, bd.at is null as failed, bd.at is not null and blocked_by is null as ok,
+      case when bd.at is null then 0 when blocked_by is null then len(rx) // 3 else n end as cn, rx from en left join bd on bd.at = en.url)
+"""
+
+
+@query("hls_output", _WHOLE + f"""select stream_id, idx, cn as length,
+  coalesce(sum(cn) over (partition by stream_id order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as "offset",
+  md5({_blob('rx')}) as digest from x where ok""")
+def hls_output(spark, sf):
+    """The whole way from master playlists to ordered clean parts."""
+    return hls.output_parts(hls.cleaned(*hls_inputs(spark, sf)))
+
+
+@query("hls_path_stats", _WHOLE + """select ids.stream_id, count(idx) as total_segments, count(*) filter (ok) as clean_segments,
+  count(*) filter (not ok) as blocked_segments, coalesce(sum(cn), 0)::bigint as bytes_received,
+  coalesce(sum(cn) filter (ok), 0)::bigint as bytes_written, coalesce(sum(cn) filter (not ok), 0)::bigint as bytes_saved,
+  count(*) filter (failed) as failed_fetches from ids left join x on x.stream_id = ids.stream_id group by 1""")
+def hls_path_stats(spark, sf):
+    """Counters of every stream; lost segments count as blocked, a lost playlist as no segments."""
+    streams, documents, bodies = hls_inputs(spark, sf)
+    return hls.stats(streams, hls.cleaned(streams, documents, bodies)).drop("duration_secs", "bytes_saved_pct")

@@ -96,17 +96,16 @@ def src_labelled_csv(spark, sf):
         F.sum(F.aggregate(good, F.lit(0.0), lambda a, x: a + x)).alias("total")), 4)
 
 
-@query("src_playlist", O["playlist_duration"])
+@query("src_playlist", "with e as (" + O["playlist_duration"] + """)
+  select playlist_id // 1000 as bucket, sum(segments)::bigint as segments, round(sum(total_duration), 6) as total_duration from e group by 1""")
 def src_playlist(spark, sf):
-    """Playlists through text storage, one record per playlist."""
+    """A thousand playlists to a playlist file, read from there."""
     path = session.new_path(spark, "playlists")
-    sep = "\x01"
-    df = table(spark, sf, "playlists")
-    df.select(F.concat_ws("\x02", "playlist_id", "base_url", "content").alias("value")).write.option("lineSep", sep).text(path)
-    part = F.split("value", "\x02")
-    back = spark.read.option("lineSep", sep).text(path).select(
-        part[0].cast("long").alias("playlist_id"), part[1].alias("base_url"), part[2].alias("content"))
-    return rounded(pl.durations(back, "playlist_id"))
+    (table(spark, sf, "playlists").select(F.expr("playlist_id div 1000").alias("bucket"), "playlist_id", "content")
+     .repartition("bucket").sortWithinPartitions("bucket", "playlist_id").select("bucket", "content")
+     .write.partitionBy("bucket").text(path))
+    back = text.playlist_files(spark, path).withColumn("bucket", bucket_of("base_url"))
+    return rounded(pl.durations(back, "bucket"))
 
 
 _PROBE = """concat('{"streams":[{"codec_name":"', case when p_partkey % 3 = 0 then 'h264' else 'vp9' end,
@@ -124,17 +123,18 @@ def src_media_probe(spark, sf):
     return text.media_probe(df)
 
 
-@query("src_resume_files", """select concat('out/', o_custkey, '/', o_orderkey) as output_path,
-  case when o_orderkey % 13 = 0 then 0 else o_custkey * 1000 end as bytes_downloaded,
-  case when o_orderkey % 17 = 0 then 0 else o_orderkey * 60 end as saved_at from orders""")
+@query("src_resume_files", """select concat('out/', s_nationkey, '/', s_suppkey) as output_path,
+  case when s_suppkey % 13 = 0 then 0 else s_nationkey * 1000 end as bytes_downloaded,
+  case when s_suppkey % 17 = 0 then 0 else s_suppkey * 60 end as saved_at from supplier""")
 def src_resume_files(spark, sf):
-    """State text with some numbers spoiled."""
-    df = given(spark, sf, "orders").select(F.concat(
-        F.lit("bytes="), F.when(F.col("o_orderkey") % 13 == 0, "x").otherwise((F.col("o_custkey") * 1000).cast("string")),
-        F.lit("\npath=out/"), "o_custkey", F.lit("/"), "o_orderkey",
-        F.when(F.col("o_orderkey") % 17 == 0, "").otherwise(F.concat(F.lit("\ntimestamp="), (F.col("o_orderkey") * 60).cast("string"))))
-        .alias("value"))
-    return text.resume_states(df)
+    """One state file per output, some numbers spoiled, read from disk."""
+    path = session.new_path(spark, "resume")
+    given(spark, sf, "supplier").select("s_suppkey", F.concat(
+        F.lit("bytes="), F.when(F.col("s_suppkey") % 13 == 0, "x").otherwise((F.col("s_nationkey") * 1000).cast("string")),
+        F.lit("\npath=out/"), "s_nationkey", F.lit("/"), "s_suppkey",
+        F.when(F.col("s_suppkey") % 17 == 0, "").otherwise(F.concat(F.lit("\ntimestamp="), (F.col("s_suppkey") * 60).cast("string"))))
+        .alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    return text.resume_files(spark, path).select("output_path", "bytes_downloaded", "saved_at")
 
 
 @query("sink_splits", O["split_stratified"].replace("select id, label, case", "select id, case"))

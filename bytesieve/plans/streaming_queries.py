@@ -13,7 +13,7 @@ from bytesieve.operators import telemetry
 from bytesieve.plans import registry
 from bytesieve.plans.evaluation_queries import rounded
 from bytesieve.plans.registry import query
-from bytesieve.plans.segment_queries import _GAP
+from bytesieve.plans.segment_queries import _GAP, arrived
 from bytesieve.plans.tables import cte
 from bytesieve.plans.telemetry_queries import _LOG, as_log
 from bytesieve.plans.triage_queries import _VERDICT
@@ -73,16 +73,18 @@ def st_progress_250ms(spark, sf):
 @query("st_stream_stats", O["stream_stats"].replace(
     ",\n  round(coalesce(sum(cn) filter (ok), 0) / 250.0::double * 1000 / 1048576, 6) as mbps", ""))
 def st_stream_stats(spark, sf):
-    return rounded(jobs.run(jobs.stats_stream(jobs.stream_table(spark, sf, "segments")), "update", ["stream_id"]))
+    """Segments in three steps, ten seconds apart in a stream; totals come out as streams fall silent."""
+    segs = jobs.tables.table(spark, sf, "segments").withColumn("ts_us", (F.col("stream_id") * 100 + F.col("idx") * 10) * 1_000_000)
+    replay = jobs.Replay(segs, "ts_us", last=jobs.closing(segs))
+    return rounded(jobs.run(jobs.stats_stream(replay.stream()), replay=replay))
 
 
 @query("st_reassembly", _GAP + """ select stream_id, idx, idx as release_no, 'written' as outcome, md5(data) as digest
   from a join g using (stream_id) where idx < next_idx""")
 def st_reassembly(spark, sf):
-    """Segments arrive out of order and with losses."""
-    chunks = jobs.stream_table(spark, sf, "segments").where("(stream_id * 7 + idx) % 11 <> 0").withColumn(
-        "arrival", (F.col("idx") * 5 + F.col("stream_id")) % 8)
-    out = jobs.run(jobs.reassemble_stream(chunks))
+    """Segments arrive out of order and with losses, in three steps with a restart between."""
+    replay = jobs.Replay(arrived(spark, sf), "arrival")
+    out = jobs.run(jobs.reassemble_stream(replay.stream()), replay=replay)
     return out.select("stream_id", "idx", "release_no", "outcome", F.md5("data").alias("digest"))
 
 
@@ -95,24 +97,26 @@ def st_latest_status(spark, sf):
     return out.select("task_id", "status", F.col("status").isin(rules.TERMINAL_STATUSES).alias("is_terminal"))
 
 
-@query("st_resume_state", cte("resume_saves") + """, s as (select output_path, arg_max(bytes_downloaded, saved_at) as bytes_downloaded,
+@query("st_resume_state", cte("resume_saves") + """, s as (select output_path, arg_max(bytes_downloaded, (saved_at, bytes_downloaded)) as bytes_downloaded,
     max(saved_at) as saved_at from resume_saves group by 1)
   select output_path, bytes_downloaded, saved_at from s where (select max(saved_at) from s) - saved_at < 604800""")
 def st_resume_state(spark, sf):
-    saves = jobs.stream_table(spark, sf, "resume_saves").select("output_path", "bytes_downloaded", "saved_at")
-    out = jobs.run(saves, keys=["output_path"], order="saved_at",
-                   per_batch=lambda b: jobs.newest_per_key(b, "output_path", ["saved_at"]))
-    return jobs.drop_expired(out)
+    """Saves in three steps, upserted into one compacted table."""
+    saves = jobs.tables.table(spark, sf, "resume_saves").select("output_path", "bytes_downloaded", "saved_at")
+    replay = jobs.Replay(saves, "saved_at")
+    return jobs.drop_expired(jobs.upsert(replay.stream(), ["output_path"], ["saved_at"], replay, deltas=2).read())
 
 
 @query("st_level_changes", O["level_changes"])
 def st_level_changes(spark, sf):
-    return jobs.run(jobs.level_change_stream(telemetry.with_level(jobs.stream_table(spark, sf, "sys_metrics"))))
+    replay = jobs.Replay(jobs.tables.table(spark, sf, "sys_metrics"), "ts_us")
+    return jobs.run(jobs.level_change_stream(telemetry.with_level(replay.stream())), replay=replay)
 
 
 @query("st_idle_sessions", O["idle_sessions"].replace("select host, session, min(ts_us) as start_us, max(ts_us) as end_us, count(*) as requests from n group by 1, 2",
     "select host, min(ts_us) as start_us, max(ts_us) as end_us, count(*) as requests from n group by host, session"))
 def st_idle_sessions(spark, sf):
-    """Complete mode, so that the last open sessions are written too."""
-    req = jobs.stream_table(spark, sf, "requests").withColumn("host", telemetry.host_of(F.col("url")))
-    return jobs.run(jobs.session_stream(req), "complete")
+    """Append mode: sessions leave the state as the watermark passes, the last ones by a closing step."""
+    req = jobs.tables.table(spark, sf, "requests").withColumn("host", telemetry.host_of(F.col("url")))
+    replay = jobs.Replay(req, "ts_us", last=jobs.closing(req))
+    return jobs.run(jobs.session_stream(replay.stream()), replay=replay)

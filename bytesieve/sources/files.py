@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from fnmatch import fnmatch
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytesieve import rules, session
-
-
-def _read_prefix(path: str, size: int) -> bytes | None:
-    """First bytes of one file; None if it is not there.  Other errors fail the task, which is then tried again."""
-    try:
-        where, name, _ = _open_fs(path)
-        with where.open_input_stream(name) as f:
-            return f.read(size)
-    except FileNotFoundError:
-        return None
+from bytesieve import rules
+from bytesieve.sources.header_source import HeaderSource, Store
 
 
 def prefix(path: Column, size: int = rules.HEADER_SIZE) -> Column:
@@ -28,74 +15,38 @@ def prefix(path: Column, size: int = rules.HEADER_SIZE) -> Column:
 
     @F.arrow_udf("binary")
     def run(paths: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else _read_prefix(p, size) for p in paths.to_pylist()], pa.binary())
+        stores = [None if p is None else Store(p) for p in paths.to_pylist()]
+        return pa.array([None if s is None else s.prefix(s.root, size) for s in stores], pa.binary())
 
     return run(path)
 
 
-def _open_fs(path: str):
-    from pyarrow import fs
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path), "file:"
-    if "://" in path:
-        where, name = fs.FileSystem.from_uri(path)
-        return where, name, path[: path.index(name)] if name in path else ""
-    return fs.LocalFileSystem(), path, "file:"
+def _source(spark: SparkSession, path: str, glob: str | None, **options) -> DataFrame:
+    spark.dataSource.register(HeaderSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format(HeaderSource.name()).options(**options)
+    return (reader.option("glob", glob) if glob is not None else reader).load(path)
 
 
 def list_files(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Path and size of every file, empty ones included; nothing is opened.
-
-    Tasks list folders, level by level; each level is written to the work folder and names the folders of the next, so
-    the driver holds no name but that of the root, however many files or folders there are.  Spark's own file source
-    would leave out empty files.
-    """
-    _, root, scheme = _open_fs(path)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-        where = _open_fs(path)[0]
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                entries = where.get_file_info(fs.FileSelector(folder))
-                for low in range(0, len(entries), 10_000):
-                    part = [i for i in entries[low:low + 10_000] if i.type == fs.FileType.Directory
-                            or i.type == fs.FileType.File and (glob is None or fnmatch(i.base_name, glob))]
-                    folders = [i.type == fs.FileType.Directory for i in part]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i.path if d else scheme + i.path for i, d in zip(part, folders, strict=True)], pa.string()),
-                         pa.array([None if d else i.size for i, d in zip(part, folders, strict=True)], pa.int64()),
-                         pa.array(folders, pa.bool_())], ["path", "file_size", "is_folder"])
-
-    level, found = spark.createDataFrame([(root,)], "path string"), None
-    while True:
-        out = session.new_path(spark, "listing")
-        level.mapInArrow(walk, "path string, file_size long, is_folder boolean").write.parquet(out)
-        listed = spark.read.schema("path string, file_size long, is_folder boolean").parquet(out)
-        files = listed.where("not is_folder").select("path", "file_size")
-        found = files if found is None else found.unionByName(files)
-        level = listed.where("is_folder").select("path")
-        if not recursive or level.isEmpty():
-            return found
-        level = level.repartition("path")
+    """Path and size of every file, empty ones included (Spark's own file source would leave those out); nothing is
+    opened."""
+    return _source(spark, path, glob, recursive=recursive, size=0).drop("header")
 
 
 def file_headers(spark: SparkSession, path: str, *, size: int = rules.HEADER_SIZE, glob: str | None = None,
-                 recursive: bool = True, tasks: int | None = None) -> DataFrame:
-    """(path, file_size, header) for a folder of files of any size.
+                 recursive: bool = True, per_task: int = 20_000) -> DataFrame:
+    """(path, file_size, header) for a folder of files of any size, ``per_task`` files to a task.
 
-    The paths (not the contents) are spread evenly over tasks, and each task
-    reads only the prefixes; a whole-file reader would load every file and
-    give each big one a task of its own.
+    Each task reads only the prefixes of its files; a whole-file reader would load every file and give each big one a
+    task of its own.
     """
-    listed = list_files(spark, path, glob=glob, recursive=recursive)
-    spread = listed.repartition(tasks, "path") if tasks else listed.repartition("path")
-    return spread.withColumn("header", prefix(F.col("path"), size))
+    return _source(spark, path, glob, recursive=recursive, size=size, filesPerTask=per_task)
 
 
 def sample_folders(spark: SparkSession, path: str, labels: dict[str, int], **kw) -> DataFrame:
     """Headers of labelled folders: the folder name below ``path`` gives the label."""
-    root = _open_fs(path)[1].rstrip("/") + "/"
+    root = Store(path).root.rstrip("/") + "/"
     folder = F.substring_index(F.substring_index("path", root, -1), "/", 1)  # the first one below path
     out = F.lit(None).cast("int")
     for name, value in labels.items():

@@ -12,11 +12,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from bytesieve import rules, session
+from bytesieve.functions import ordered as O
 from bytesieve.operators import segments, telemetry, triage
 from bytesieve.plans import tables
+from bytesieve.streaming.upserts import UpsertTable, newest
+
+MAP_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 # ------------------------------------------------------------ running
@@ -41,8 +45,45 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, **options) -> Data
     return spark.sql(text, **frames)
 
 
+class Replay:
+    """Rows handed to a stream in steps along ``order``, each step what arrived since the one before; ``last`` may be one
+    more step. Iterating appends the next step to the folder that ``stream`` reads."""
+
+    def __init__(self, df: DataFrame, order: str, steps: int = 3, last: DataFrame | None = None):
+        self.spark, self.schema, self.last = df.sparkSession, df.schema, last
+        cuts = O.value_cuts(df, order, steps)
+        self.steps = len(cuts) + 1
+        self.stage, self.path = session.new_path(self.spark, "replay-stage"), session.new_path(self.spark, "replay")
+        df.withColumn("_step", O.cut_tree(F.col(order), cuts)).write.partitionBy("_step").parquet(self.stage)
+        self.spark.createDataFrame([], self.schema).write.parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.path)
+
+    def __iter__(self) -> Iterator[int]:
+        staged = self.spark.read.parquet(self.stage)
+        for i in range(self.steps):
+            staged.where(F.col("_step") == i).select(self.schema.names).write.mode("append").parquet(self.path)
+            yield i
+        if self.last is not None:
+            self.last.select(self.schema.names).write.mode("append").parquet(self.path)
+            yield self.steps
+
+
+def drain(df: DataFrame, save: Callable[[DataFrame, int], None], mode: str, replay: Replay | None) -> list[dict]:
+    """Run a stream to the end of its input; with ``replay`` once per step on one checkpoint, as after a restart.
+    Returns the progress of every micro-batch."""
+    checkpoint, seen = session.new_path(df.sparkSession, "stream-state"), []
+    for _ in replay if replay is not None else (0,):
+        q = (df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        seen += [p if isinstance(p, dict) else p.jsonValue for p in q.recentProgress]
+    return seen
+
+
 def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, order: str | list[str] = "batch",
-        per_batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        per_batch: Callable[[DataFrame], DataFrame] | None = None, replay: Replay | None = None) -> DataFrame:
     """Drain a stream into parquet below the work folder and read it back.
 
     One folder per micro-batch, overwritten on a retry, so a batch that is run
@@ -58,13 +99,11 @@ def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, orde
         reduced = per_batch(batch) if per_batch else batch
         reduced.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    (df.writeStream.foreachBatch(save).outputMode(mode)
-     .option("checkpointLocation", session.new_path(spark, "stream-state"))
-     .trigger(availableNow=True).start().awaitTermination())
+    drain(df, save, mode, replay)
     rows = spark.read.parquet(out)
     if mode == "complete":
-        newest = rows.agg(F.max("batch").alias("batch"))
-        rows = rows.join(F.broadcast(newest), "batch", "left_semi")
+        newest_batch = rows.agg(F.max("batch").alias("batch"))
+        rows = rows.join(F.broadcast(newest_batch), "batch", "left_semi")
     elif keys:
         values = [c for c in rows.columns if c not in keys]
         by = F.struct(*([order] if isinstance(order, str) else order), "batch")
@@ -72,6 +111,13 @@ def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, orde
     return rows.select(*df.columns)
 
 
+def upsert(df: DataFrame, keys: list[str], order: list[str], replay: Replay | None = None, **kw) -> UpsertTable:
+    """Drain a stream into a compacted table of the newest row per key."""
+    table = UpsertTable(df.sparkSession, session.new_path(df.sparkSession, "upserts"), df.schema, keys, order, **kw)
+    drain(df, table.save, "append", replay)
+    return table
+
+
 def timed(df: DataFrame, delay: str = "10 minutes", ts: str = "ts_us") -> DataFrame:
     """Add the event time column and its watermark."""
     return df.withColumn("ts", F.timestamp_micros(F.col(ts))).withWatermark("ts", delay)
@@ -99,17 +145,27 @@ def progress_stream(transfers: DataFrame, millis: int = 250) -> DataFrame:
     return telemetry.progress_windows(timed(transfers), millis)
 
 
-def session_stream(requests: DataFrame, idle_secs: int = rules.IDLE_SECS, key: str = "host") -> DataFrame:
-    """Sessions closed by ``idle_secs`` of silence."""
+def session_stream(requests: DataFrame, idle_secs: int = rules.IDLE_SECS, key: str = "host", delay: str = "10 minutes") -> DataFrame:
+    """Sessions closed by ``idle_secs`` of silence; run in append mode.  A session leaves the state, and comes out, once
+    the watermark has passed its end."""
     w = F.session_window("ts", f"{idle_secs} seconds")
-    out = timed(requests).groupBy(key, w).agg(
+    out = timed(requests, delay).groupBy(key, w).agg(
         F.count("*").alias("requests"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
     return out.select(key, "start_us", "end_us", "requests")
 
 
-def stats_stream(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Running segment counters; run in update mode."""
-    return segments.hls_stats(segments.filter_segments(chunks), key)
+def stats_stream(chunks: DataFrame, key: str = "stream_id", idle_secs: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """Segment counters of every stream; run in append mode.  A stream is over, its totals come out and leave the state,
+    after ``idle_secs`` without a segment."""
+    filtered = segments.filter_segments(timed(chunks, delay))
+    return segments.hls_stats(filtered, key, F.session_window("ts", f"{idle_secs} seconds"))
+
+
+def closing(df: DataFrame, ts: str = "ts_us", after_secs: int = 2 * 86_400) -> DataFrame:
+    """One row of nulls but for a time past all others: as a last step it moves the watermark over everything open, so
+    that all of it comes out.  Its own session stays open."""
+    top = df.agg(F.max(ts).alias(ts)).withColumn(ts, F.col(ts) + after_secs * 1_000_000)
+    return top.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
 
 
 # ------------------------------------------------------------ latest value per key
@@ -121,8 +177,7 @@ def newest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     stateless: the stored table is the state, folded on the same order when
     read, and keys that stop changing cost nothing.
     """
-    values = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(key, "_v.*")
+    return newest(df, [key], order)
 
 
 def drop_expired(states: DataFrame, at: str = "saved_at", ttl_secs: int = rules.RESUME_TTL_SECS) -> DataFrame:
@@ -133,68 +188,102 @@ def drop_expired(states: DataFrame, at: str = "saved_at", ttl_secs: int = rules.
 
 # ------------------------------------------------------------ custom state
 
+def use_map_state(spark: SparkSession) -> None:
+    """Keyed state cells need a state store that holds several per key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", MAP_STATE)
+
+
+class Reassembler(StatefulProcessor):
+    """One state cell per waiting piece, and per stream the next index, how many wait and the timer that runs."""
+
+    def __init__(self, key: str, max_waiting: int, gap_timeout_ms: int | None):
+        self.key, self.max_waiting, self.gap_timeout_ms = key, max_waiting, gap_timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "expected long, held long, timer long")
+        self.waiting = handle.getMapState("waiting", "idx long", "data binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        expected, held, timer = self.place.get() or (0, 0, -1)
+        for chunk in rows:
+            out = []
+            ordered = chunk.sort_values(["arrival", "idx"], kind="stable")
+            for idx, data in zip(ordered["idx"].tolist(), ordered["data"], strict=True):
+                if idx > expected:
+                    if held < self.max_waiting:
+                        held += not self.waiting.containsKey((idx,))
+                        self.waiting.updateValue((idx,), (bytes(data),))
+                    else:
+                        out.append((key[0], idx, None, "overflow", bytes(data)))
+                elif idx == expected:
+                    out.append((key[0], idx, expected, "written", bytes(data)))
+                    expected += 1
+                    while held and self.waiting.containsKey((expected,)):
+                        out.append((key[0], expected, expected, "written", self.waiting.getValue((expected,))[0]))
+                        self.waiting.removeKey((expected,))
+                        expected, held = expected + 1, held - 1
+            yield self.rows(out)
+        if self.gap_timeout_ms:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = -1
+            if held:
+                timer = timerValues.getCurrentProcessingTimeInMs() + self.gap_timeout_ms
+                self.handle.registerTimer(timer)
+        self.place.update((expected, held, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.waiting.clear()
+        self.place.clear()
+        yield self.rows([(key[0], None, None, "gap", None)])
+
+    def rows(self, found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=[self.key, "idx", "release_no", "outcome", "data"])
+        return out.astype({"idx": "Int64", "release_no": "Int64"})
+
+
 def reassemble_stream(chunks: DataFrame, key: str = "stream_id", max_waiting: int = rules.MAX_BUFFERED_SEGMENTS,
                       gap_timeout_ms: int | None = None) -> DataFrame:
     """Release segments in index order per stream.
 
-    Needs ``stream_id, idx, arrival, data``.  State per stream: the next index
-    and at most ``max_waiting`` held segments; what exceeds that comes out with
-    its bytes as an ``overflow`` row instead of growing the state.  Segments older than the
-    next index are dropped.  With ``gap_timeout_ms`` a stream stuck on a gap
-    gives up its state after that silence (for long-running triggers: a
-    processing-time timer keeps an available-now run from ever ending).
+    Needs ``stream_id, idx, arrival, data``.  Rows of a stream are taken chunk by chunk as Spark hands them over, each
+    chunk by (arrival, idx); a micro-batch is never gathered.  A piece ahead of its turn is one state cell, written when it
+    comes and dropped when it goes; beyond ``max_waiting`` of them a piece comes out with its bytes as an ``overflow`` row
+    instead of growing the state.  Segments older than the next index are dropped.  With ``gap_timeout_ms`` a stream stuck
+    on a gap gives up its state after that silence (for long-running triggers: a processing-time timer keeps an
+    available-now run from ever ending).
     """
-    fields = "stream_id long, idx long, release_no long, outcome string, data binary"
-
-    def step(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(group[0], None, None, "gap", None)],
-                               columns=["stream_id", "idx", "release_no", "outcome", "data"])
-            return
-        expected, idxs, datas = state.get if state.exists else (0, [], [])
-        held = dict(zip(idxs, datas))
-        arrived = pd.concat(list(batches)).sort_values("arrival", kind="stable")
-        for idx, data in zip(arrived["idx"], arrived["data"]):
-            idx = int(idx)
-            if idx > expected:
-                if len(held) < max_waiting:
-                    held[idx] = bytes(data)
-                else:
-                    rows.append((group[0], idx, None, "overflow", bytes(data)))
-                continue
-            if idx < expected:
-                continue
-            rows.append((group[0], idx, expected, "written", bytes(data)))
-            expected += 1
-            while expected in held:
-                rows.append((group[0], expected, expected, "written", held.pop(expected)))
-                expected += 1
-        order = sorted(held)
-        state.update((expected, order, [held[i] for i in order]))
-        if gap_timeout_ms and held:
-            state.setTimeoutDuration(gap_timeout_ms)
-        out = pd.DataFrame(rows, columns=["stream_id", "idx", "release_no", "outcome", "data"])
-        out["release_no"] = out["release_no"].astype("Int64")
-        yield out
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if gap_timeout_ms else GroupStateTimeout.NoTimeout
-    return chunks.select(key, "idx", "arrival", "data").groupBy(key).applyInPandasWithState(
-        step, fields, "expected long, idxs array<long>, datas array<binary>", "append", timeout)
+    use_map_state(chunks.sparkSession)
+    kind = chunks.schema[key].dataType.simpleString()
+    return chunks.select(key, "idx", "arrival", "data").groupBy(key).transformWithStateInPandas(
+        Reassembler(key, max_waiting, gap_timeout_ms), f"`{key}` {kind}, idx long, release_no long, outcome string, data binary",
+        "append", "ProcessingTime" if gap_timeout_ms else "None")
+
+
+class LevelChanges(StatefulProcessor):
+    """The last level of every key."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "level int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        (last,) = self.last.get() or (0,)
+        for chunk in rows:
+            ordered = chunk.sort_values(["ts_us", "event_id"])
+            before = ordered["level"].shift(1, fill_value=last)
+            changed = ordered.assign(prev_level=before, **{self.key: key[0]})[ordered["level"] != before]
+            last = int(ordered["level"].iloc[-1])
+            yield changed[[self.key, "ts_us", "event_id", "prev_level", "level"]].astype({"prev_level": "int32"})
+        self.last.update((last,))
 
 
 def level_change_stream(metrics: DataFrame, key: str = "host") -> DataFrame:
-    """Emit a host's row whenever its level differs from the one before."""
-    fields = "host long, ts_us long, event_id long, prev_level int, level int"
-
-    def step(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        for_sort = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        prev = for_sort["level"].shift(1, fill_value=last)
-        changed = for_sort.assign(prev_level=prev, host=group[0])[for_sort["level"] != prev]
-        state.update((int(for_sort["level"].iloc[-1]),))
-        yield changed[["host", "ts_us", "event_id", "prev_level", "level"]]
-
-    return metrics.select(key, "ts_us", "event_id", "level").groupBy(key).applyInPandasWithState(
-        step, fields, "level int", "append", GroupStateTimeout.NoTimeout)
+    """Emit a host's row whenever its level differs from the one before, chunk by chunk in the order of time."""
+    use_map_state(metrics.sparkSession)
+    kind = metrics.schema[key].dataType.simpleString()
+    return metrics.select(key, "ts_us", "event_id", "level").groupBy(key).transformWithStateInPandas(
+        LevelChanges(key), f"`{key}` {kind}, ts_us long, event_id long, prev_level int, level int", "append", "None")

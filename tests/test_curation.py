@@ -158,3 +158,45 @@ def test_null_vectors_stay_null(spark):
     df = spark.createDataFrame([(1, None), (2, [0.5, 0.5])], "id long, features array<double>")
     got = {r.id: r.features for r in cu.with_strategy(df, ["id"], "noise").collect()}
     assert got[1] is None and len(got[2]) == 2
+
+
+def test_many_stray_labels(spark):
+    """20,000 invalid labels: a short cell that tells how many; weights of a stray large label."""
+    df = spark.range(20_002).select(F.array(F.lit(0.5)).alias("features"), F.col("id").cast("int").alias("label"))
+    row = cu.label_check(cu._overall(cu.profile(df), "label")).first()
+    assert row.status == "error" and len(row.detail) < 300
+    assert row.detail.startswith("Invalid labels: {10, 100, 1000, ") and row.detail.endswith(" and 19980 more}. Expected: {0, 1}")
+    far = cu.class_weights(spark.createDataFrame([(0,), (1_000_000,)], "label int"))
+    assert far.count() == 1_000_001 and far.where("weight > 0").count() == 2
+
+
+def test_report_scans_twice(spark, tmp_path):
+    path = str(tmp_path / "t")
+    labelled(spark, [(i, [0.1 * (i % 10), 0.5], i % 2) for i in range(300)]).select(
+        F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("split"), "features", "label").write.parquet(path)
+    df = spark.read.parquet(path)
+    scans = []
+    real = cu.O.written
+
+    def written(d, label):
+        scans.append(d._jdf.queryExecution().executedPlan().toString().count(path))
+        return real(d, label)
+
+    cu.O.written = written
+    try:
+        out = cu.validate(df, keys=["split"], total="all")
+    finally:
+        cu.O.written = real
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    leaves = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line and path in line]
+    assert len(scans) == 1 and len(leaves) == 1 and plan
+    got = {(r.split, r.check): r.detail for r in out.collect()}
+    assert got[("a", "Minimum samples")] == "150 samples" and got[("all", "Minimum samples")] == "300 samples"
+    assert got[("all", "Duplicate rows")].startswith("290 duplicates")
+
+
+def test_loader_stats_have_weights(spark):
+    rows = [(i, [0.5], 0 if i % 4 else 2, "train" if i < 40 else "val") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label int, split string")
+    r = cu.loader_stats(df).first()
+    assert (r.train_samples, r.num_classes) == (40, 3) and np.allclose(r.class_weights, [40 / 90, 0, 40 / 30])

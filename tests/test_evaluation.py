@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from bytesieve.functions import ordered as O
 from bytesieve.operators import evaluation as ev
 from bytesieve.operators import scoring as sc
 
@@ -86,6 +88,53 @@ def test_percentile(spark, share):
     assert abs(sc.exact_percentile(df, "ms", share).first()[0] - np.percentile(values, share * 100)) < 1e-9
 
 
+def test_a_million_scores_spread_evenly(spark):
+    """Ranges follow the count of distinct scores: none is much larger than asked for, and the sums are exact."""
+    df = spark.range(1_000_000).select((F.col("id") % 2).cast("int").alias("y_true"), (F.pow(F.col("id") / 1e6, 3)).alias("y_prob"))
+    c = ev.threshold_counts(df, rows=50_000)
+    got = c.agg(F.count("*"), F.sum("tp"), F.sum("fp"), F.max("tp")).first()
+    assert tuple(got) == (1_000_000, 250_000_500_000, 250_000_000_000, 500_000)
+    parts = O.with_ranged_sum(df.select("y_prob"), [F.col("y_prob")], {"at": F.lit(1)}, rows=50_000)
+    sizes = [n for n in parts.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+    assert sum(sizes) == 1_000_000 and max(sizes) < 4 * 50_000
+    assert parts.agg(F.max("at")).first()[0] == 1_000_000
+    small = ev.threshold_counts(df.limit(10))
+    assert small.count() == 10
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_ranged_sums_and_maxima(spark, rows):
+    rng = random.Random(rows)
+    values = [(i, rng.randrange(50)) for i in rng.sample(range(1000), 60)]
+    df = spark.createDataFrame(values, "k int, v int")
+    got = O.with_ranged_sum(df, [F.col("k").desc()], {"s": F.col("v")}, {"m": F.col("v")}, rows=rows).collect()
+    total, top, want = 0, 0, {}
+    for k, v in sorted(values, reverse=True):
+        total, top = total + v, max(top, v)
+        want[k] = (v, total, top)
+    assert {r.k: (r.v, r.s, r.m) for r in got} == want
+
+
+def test_newton(spark):
+    """The optimum of a weighted, ridged log-loss: its gradient is zero; repeated and separable rows are fine."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [2, -1, 0.5] + rng.normal(size=300) > 0.3).astype(int)
+    rows = [([float(v) for v in a], int(b), float(c)) for a, b, c in zip(x, y, rng.uniform(0.5, 2, 300))]
+    df = spark.createDataFrame(rows, "features array<double>, label int, c double").repartition(5)
+    w = sc.newton(df, weight="c", ridge=0.7).weights
+    full = np.hstack([np.ones((300, 1)), x])
+    grad = full.T @ (np.array([r[2] for r in rows]) * (1 / (1 + np.exp(-full @ w)) - y)) + 0.7 * np.array([0, *w[1:]])
+    assert np.abs(grad).max() < 1e-8
+    score = {tuple(r.features): r.score for r in sc.linear_score(df, sc.Linear(w)).collect()}
+    assert abs(score[tuple(rows[0][0])] - 1 / (1 + np.exp(-full[0] @ w))) < 1e-12
+    apart = spark.createDataFrame([([0.0], 0), ([1.0], 1)] * 20, "features array<double>, label int")
+    assert np.isfinite(sc.newton(apart).weights).all()
+    assert (sc.newton(df.limit(0)).weights == 0).all()
+    with pytest.raises(ValueError):
+        sc.newton(df, most=2)
+
+
 def test_softmax(spark):
     df = spark.createDataFrame([(0.0, 0.0), (-1000.0, 1000.0), (3.0, 1.0)], "l0 double, l1 double")
     r = sc.with_softmax(df).collect()

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, StringEndsWith
 
 from bytesieve import session
 from bytesieve.operators import triage
 from bytesieve.sources import files, sinks, text
+from bytesieve.sources.header_source import HeaderReader, Store
 
 
 @pytest.fixture()
@@ -41,6 +43,55 @@ def test_listing_depth_and_glob(spark, folder):
     assert names(recursive=False) == ["top.txt"] and names(glob="*.txt") == ["top.txt"]
 
 
+def test_flat_folder_is_listed_in_shares(spark, tmp_path):
+    """50,000 empty files in one folder: no partition keeps more than a share, all of them keep everything once."""
+    for i in range(50_000):
+        (tmp_path / f"{i:05d}.bin").touch()
+    (tmp_path / "other.txt").touch()
+    reader = HeaderReader({"path": str(tmp_path), "filesPerTask": "6000", "size": "0"})
+    parts = reader.partitions()
+    assert len(parts) == 9 and all(p.shares == 9 for p in parts)
+    sizes = [sum(b.num_rows for b in reader.read(p)) for p in parts]
+    assert sum(sizes) == 50_001 and max(sizes) < 6500
+    assert all(b.num_rows <= 1000 for b in reader.read(parts[0]))
+    df = files.file_headers(spark, str(tmp_path), glob="*.bin", per_task=6000)
+    assert df.rdd.getNumPartitions() == 9
+    assert df.select("path").distinct().count() == 50_000
+    found = df.where(F.col("path").endswith("7.bin") & (F.col("file_size") == 0))
+    assert found.count() == 5000
+
+
+def test_filters_reach_the_listing(tmp_path):
+    for i in range(20):
+        (tmp_path / f"{i}.bin").write_bytes(b"x" * i)
+    reader = HeaderReader({"path": str(tmp_path)})
+    rest = list(reader.pushFilters([StringEndsWith(("path",), "1.bin"), GreaterThan(("file_size",), 5), EqualTo(("header",), b"x")]))
+    assert [type(f) for f in rest] == [EqualTo]
+    opened = []
+    reader_prefix = Store.prefix
+    try:
+        Store.prefix = lambda self, path, size: opened.append(path) or reader_prefix(self, path, size)
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    finally:
+        Store.prefix = reader_prefix
+    assert [(r["file_size"], len(r["header"])) for r in rows] == [(11, 11)] and len(opened) == 1
+
+
+def test_folders_beyond_the_plan_are_walked_by_tasks(spark, tmp_path):
+    for i in range(30):
+        d = tmp_path / f"a{i}" / "b"
+        d.mkdir(parents=True)
+        (d / "x.bin").write_bytes(b"abc")
+        (tmp_path / f"a{i}" / "y.bin").write_bytes(b"d")
+    reader = HeaderReader({"path": str(tmp_path), "plannedFolders": "5"})
+    parts = reader.partitions()
+    assert sum(p.deep for p in parts) > 20
+    assert sorted(len(r["header"]) for p in parts for b in reader.read(p) for r in b.to_pylist()) == [1] * 30 + [3] * 30
+    assert files.list_files(spark, str(tmp_path)).count() == 60
+    with pytest.raises(FileNotFoundError):
+        HeaderReader({"path": str(tmp_path / "none")}).partitions()
+
+
 def test_response_prefix(spark):
     df = spark.createDataFrame([(200, bytearray(b"abcdef")), (206, bytearray(b"xy")), (404, bytearray(b"no"))], "http_status int, body binary")
     assert [bytes(r.header) for r in files.response_prefix(df, 4).collect()] == [b"abcd", b"xy"]
