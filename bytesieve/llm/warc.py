@@ -1,12 +1,14 @@
 """WARC archives written from and read into tables.
 
-Writing: one task writes its rows as gzip members, one per record, into archives of bounded size; a row per finished
-archive goes into a manifest, so what a lost or repeated task left behind is never read. A page whose payload another
+Writing: one task writes its rows as gzip members, one per record, into archives of bounded size, header and payload fed
+to the compressor piece by piece; a row per finished archive goes into a manifest, so what a lost or repeated task left
+behind is never read. A page whose payload another
 page has already is a `revisit` that points at it and carries no payload.
 
 Reading: an archive is decompressed as a stream. A record becomes rows of (record_id, chunk_no) with at most `chunk`
 bytes each; every row carries the bytes so far and the SHA-256 so far, the last one those of the whole payload, so a
-payload of any size is checked without being held."""
+payload of any size is checked without being held. The digests that headers state are compared with those of what was
+read, a revisit's with that of the record it points at; a difference ends the job."""
 
 from __future__ import annotations
 
@@ -24,7 +26,7 @@ from bytesieve import session
 from bytesieve.llm.tables import stored, tasks
 from bytesieve.llm.words import slices
 
-ARCHIVE_BYTES, CHUNK, LEAST = 64 << 20, 1 << 20, 100
+ARCHIVE_BYTES, CHUNK, PIECE, LEAST = 64 << 20, 1 << 20, 1 << 18, 100
 HEAD = "record_id string, page_id long, record_type string, refers_to long, url string"
 RECORD = HEAD + ", chunk_no long, last boolean, payload_bytes long, sha256 string, stated string, data binary"
 
@@ -49,20 +51,32 @@ def _line(value) -> str:
     return " ".join(str(value).split())
 
 
-def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
+def _head(page_id, url, size: int, digest: str, refers_to) -> bytes:
+    """What stands before a payload of `size` bytes; a revisit has none."""
     kind = "response" if refers_to is None else "revisit"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = http + (payload if refers_to is None else b"")
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    body = len(http) + (size if refers_to is None else 0)
     name = "none" if page_id is None else page_id
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", "WARC-Date: 2024-01-01T00:00:00Z",
             f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response",
-            f"Content-Length: {len(body)}"]
+            f"Content-Length: {body}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + http
+
+
+def _packed(page_id, url, payload: memoryview, digest: str, refers_to, piece: int = PIECE) -> Iterator[bytes]:
+    """A record as one gzip member, in pieces; no copy of the payload is made."""
+    pack = zlib.compressobj(5, zlib.DEFLATED, 31)
+    yield pack.compress(_head(page_id, url, len(payload), digest, refers_to))
+    if refers_to is None:
+        for at in range(0, len(payload), piece):
+            yield pack.compress(payload[at:at + piece])
+    yield pack.compress(b"\r\n\r\n")
+    yield pack.flush()
 
 
 def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -74,14 +88,14 @@ def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
         files.create_dir(base, recursive=True)
         out, name, size, records, done = None, "", 0, 0, []
         for batch in (part for whole in batches for part in slices(whole, 2)):
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, urls, digests, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            for i, payload in enumerate(batch.column(2)):
                 if out is None:
                     name, size, records = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = files.open_output_stream(f"{base}/{name}", compression=None)
-                pack = zlib.compressobj(5, zlib.DEFLATED, 31)
-                packed = pack.compress(_record(*row)) + pack.flush()
-                out.write(packed)
-                size += len(packed)
+                for part in _packed(ids[i], urls[i], memoryview(payload.as_buffer()), digests[i], refers[i]):
+                    out.write(part)
+                    size += len(part)
                 records += 1
                 if size >= archive_bytes:
                     out.close()
@@ -213,14 +227,27 @@ def read_archives(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK,
     return manifest.select("archive").repartition(3 * tasks(spark)).mapInArrow(of, RECORD)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Pages written as archives into the shared folder and read back: page_id, payload_bytes and payload_digest of
-    the full payload (a revisit's are those of the record it points at), record_type, refers_to. An empty table gives
-    no archive and no rows."""
-    spark = pages.sparkSession
-    manifest = write_archives(record_types(pages), session.new_path(spark, "warc"))
-    rows = stored(read_archives(spark, manifest, with_data=False).where("last").select(
-        "page_id", "record_type", "refers_to", "payload_bytes", "sha256"), "records")
+def _agreed(found, stated, page_id):
+    """The digest found, if it is the one stated (or none is); else the job ends."""
+    told = F.concat(F.lit("the payload of page "), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(" has the digest "),
+                    F.coalesce(found, F.lit("none")), F.lit(", its record says "), stated)
+    return F.when(stated.isNull() | F.coalesce(found == stated, F.lit(False)), found).otherwise(F.raise_error(told).cast("string"))
+
+
+def payload_digests(chunks: DataFrame) -> DataFrame:
+    """page_id, record_type, refers_to, payload_bytes, sha256, stated of every record, from its last chunk row. A payload
+    of one chunk is digested anew from that row's data; a longer one has the running digest. Responses must agree with
+    their headers."""
+    last = chunks.where("last").withColumn("sha256", F.when(F.col("chunk_no") == 0, F.sha2("data", 256)).otherwise(F.col("sha256")))
+    response = F.col("record_type") == "response"
+    return last.select("page_id", "record_type", "refers_to", "payload_bytes", "stated", F.when(
+        response, _agreed(F.col("sha256"), F.col("stated"), F.col("page_id"))).otherwise(F.col("sha256")).alias("sha256"))
+
+
+def restored(chunks: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest of the full payload, record_type, refers_to per record; a revisit's are those
+    of the record it points at, and must be what its own header states."""
+    rows = stored(payload_digests(chunks), "records")
     pointed = rows.where("record_type = 'revisit'").select("refers_to").distinct()
     full = rows.where("record_type = 'response'").join(
         pointed.withColumnRenamed("refers_to", "page_id"), "page_id", "left_semi").groupBy("page_id").agg(
@@ -229,4 +256,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     return rows.where("record_type = 'response'").select(
         "page_id", "payload_bytes", F.col("sha256").alias("payload_digest"), "record_type", "refers_to").unionByName(
         back.select("page_id", F.col("full.payload_bytes").alias("payload_bytes"),
-                    F.col("full.sha256").alias("payload_digest"), "record_type", "refers_to"))
+                    _agreed(F.col("full.sha256"), F.col("stated"), F.col("page_id")).alias("payload_digest"), "record_type", "refers_to"))
+
+
+def round_trip(pages: DataFrame) -> DataFrame:
+    """Pages written as archives into the shared folder and read back as chunk rows with their data: page_id, payload_bytes
+    and payload_digest of the full payload, record_type, refers_to. An empty table gives no archive and no rows."""
+    spark = pages.sparkSession
+    manifest = write_archives(record_types(pages), session.new_path(spark, "warc"))
+    return restored(read_archives(spark, manifest))

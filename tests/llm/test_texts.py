@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from helpers import documents, edge_rows, sentence
 
 from bytesieve.llm import byte_bpe, decontaminate, html_text, op7_queries, pii, warc
@@ -82,6 +83,32 @@ def test_warc_chunks(spark, tmp_path):
     assert manifest.agg({"records": "sum"}).collect()[0][0] == len(rows)
 
 
+def test_warc_digests_are_compared(spark, tmp_path):
+    """A payload changed in the archive, and a revisit whose header states another digest, end the job."""
+    _, table = pages(spark)
+    typed = warc.record_types(table)
+    for n, wrong in enumerate((F.col("refers_to").isNull() & (F.col("page_id") == 7), F.col("refers_to").isNotNull())):
+        other = typed.withColumn("digest", F.when(wrong, F.sha2(F.lit("x"), 256)).otherwise(F.col("digest")))
+        manifest = warc.write_archives(other, f"file://{tmp_path}/{n}")
+        with pytest.raises(Exception, match="its record says"):
+            warc.restored(warc.read_archives(spark, manifest)).collect()
+
+
+def test_warc_records_are_not_held():
+    """A payload of 64 MB is packed piece by piece, and reads back."""
+    import tracemalloc
+    import zlib
+
+    payload = bytes(range(256)) * (1 << 18)
+    tracemalloc.start()
+    size, unzip = 0, zlib.decompressobj(31)
+    for part in warc._packed(1, "http://x", memoryview(payload), "d", None):
+        size += len(unzip.decompress(part))
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    assert size > len(payload) and unzip.eof
+
+
 def test_warc_sql(spark):
     rows, table = pages(spark)
     con = duckdb.connect()
