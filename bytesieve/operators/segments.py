@@ -391,7 +391,7 @@ def reassembly_summary(df: DataFrame, key: str = "stream_id", idx: str = "idx",
         F.coalesce(F.max(F.when(wrote, F.col(idx) + 1)), F.lit(0)).alias("next_idx"), F.count(F.when(wrote, 1)).alias("written"),
         F.sum(F.when(wrote, F.col("length")).otherwise(0)).cast("long").alias("bytes_written"),
         F.count(F.when(~wrote, 1)).alias("waiting"))
-    many = O.written(narrow.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max_waiting).select(key), "crowded")
+    many = narrow.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max_waiting).select(key)
     none = [F.lit(0).cast("long").alias("dropped"), F.lit(False).alias("overflow")]
     if many.isEmpty():
         return calm.select("*", *none)

@@ -237,8 +237,8 @@ def _bounds(df: DataFrame, *keep: str) -> DataFrame:
   from labelled, generate_series(0, 3) g(copy)""")
 def augment(spark, sf):
     """Originals as they were, and copies of which nearly all differ from them."""
-    base = clean(spark, sf)
-    out = cu.augment(base, ["id"]).join(base.select("id", F.col("features").alias("was")), "id")
+    base = clean(spark, sf).withColumn("was", F.col("features"))  # copies carry what they were made of
+    out = cu.augment(base, ["id"])
     out = out.withColumn("diff", F.zip_with("features", "was", lambda a, b: a.cast("double") - b))
     moved = F.avg(F.when(F.col("augmented"), _moved().cast("double")))
     kept = F.max(F.when(~F.col("augmented"), _moved().cast("int"))) == 0
@@ -248,8 +248,8 @@ def augment(spark, sf):
 @query("augment_strategies")
 def augment_strategies(spark, sf):
     """Copies per strategy, with the mean change each one makes."""
-    base = clean(spark, sf)
-    out = cu.augment(base, ["id"]).where("augmented").join(base.select("id", F.col("features").alias("was")), "id")
+    base = clean(spark, sf).withColumn("was", F.col("features"))
+    out = cu.augment(base, ["id"]).where("augmented")
     change = F.aggregate(F.zip_with("features", "was", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) / F.size("was")
     return out.groupBy("strategy").agg(F.count("*").alias("copies"), F.round(F.avg(change), 6).alias("mean_change"))
 

@@ -194,6 +194,27 @@ def custom_rules(spark, sf):
                      F.array_join("rule_hits", "|").alias("custom_hits"))
 
 
+class Processor:
+    """A step of a chain that can be switched off."""
+
+    def __init__(self, step, is_enabled: bool = True):
+        self.step, self.is_enabled = step, is_enabled
+
+    def __call__(self, df):
+        return self.step(df)
+
+
+@query("processor_chain", SEG + f"""select stream_id, idx, blocked_by, case when blocked_by is null then md5({_blob('rx')})
+  else md5(''::blob) end as digest, {STREAM_TYPE} as stream_type from s where not ({STREAM_TYPE} = 'Progressive')""")
+def processor_chain(spark, sf):
+    """Typing, routing and filtering as a chain; a switched-off step is left out."""
+    out = sg.chain(
+        segs(spark, sf), Processor(lambda d: d.withColumn("stream_type", sg.stream_type(F.col("url")))),
+        Processor(lambda d: d.where("stream_type <> 'Progressive'")), Processor(lambda d: d.limit(0), is_enabled=False),
+        Processor(sg.filter_chunks))
+    return out.select("stream_id", "idx", "blocked_by", digest(F.col("filtered")).alias("digest"), "stream_type")
+
+
 # Every word of at least five letters in the benchmark is a rule; its digest gives its place and what it does.
 _WORD_RULES = """, q as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) as name from benchmark),
   rl as (select list({'name': name, 'pat': """ + D.spaced_hex("encode(name)") + """, 'act': case when md5(name) < '1' then 'B' when md5(name) < '8' then 'R' else 'L' end}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bytesieve import rules, session
@@ -96,6 +97,15 @@ def src_labelled_csv(spark, sf):
         F.sum(F.aggregate(good, F.lit(0.0), lambda a, x: a + x)).alias("total")), 4)
 
 
+@query("val_wide_csv", O["val_report"])
+def val_wide_csv(spark, sf):
+    """A wide labelled CSV read back and validated by its f_* columns; every check in one report."""
+    path = session.new_path(spark, "wide")
+    labelled(spark, sf).select(*[F.element_at("features", i + 1).alias(f"f_{i}") for i in range(64)], "label").write.csv(path, header=True)
+    return cu.validate(text.labelled_csv(spark, path, 64), features=None).withColumn(
+        "is_valid", F.bool_and(F.col("status") != "error").over(Window.partitionBy(F.lit(0))))
+
+
 @query("src_playlist", "with e as (" + O["playlist_duration"] + """)
   select playlist_id // 1000 as bucket, sum(segments)::bigint as segments, round(sum(total_duration), 6) as total_duration from e group by 1""")
 def src_playlist(spark, sf):

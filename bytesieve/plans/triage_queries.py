@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytesieve import rules
+from bytesieve.functions import ordered as O
 from bytesieve.functions import text as T
 from bytesieve.functions.entropy import entropy
 from bytesieve.operators import dims, triage
@@ -370,22 +371,22 @@ def threat_report(spark, sf):
 @query("threat_indicators", D.HEAD + f"""
   select file_id, {_duck_tags(_ALL)} as indicators from t""")
 def threat_indicators(spark, sf):
-    """Indicator rows gathered back onto their report."""
+    """Indicator rows, stored as a table of their own, gathered back onto their report."""
     df = triage.with_header_issues(typed(spark, sf))
     # The outer form keeps the optimizer from copying the whole check list
     # into a size(issues) > 0 filter below the generator.
     rows = df.select("file_id", F.posexplode_outer("issues").alias("ord", "i")).select(
         "file_id", "ord", F.concat("i.severity", F.lit(":"), "i.indicator").alias("value"))
-    out = triage.attach_indicators(df.select("file_id"), rows, "file_id")
+    out = triage.attach_indicators(df.select("file_id"), O.written(rows, "indicators"), "file_id")
     return out.select("file_id", F.array_join("indicators.value", "|").alias("indicators"))
 
 
 @query("quarantine_set", _VERDICT + """
-  select file_id, file_id in (select doc_id from labels where toxic = 1) as quarantined from v where verdict <> 'Clean'""")
+  select file_id, verdict, file_id in (select doc_id from labels where toxic = 1) as quarantined from v""")
 def quarantine_set(spark, sf):
-    flagged = verdicts(spark, sf).where("verdict <> 'Clean'").select("file_id")
+    """Every report, clean ones too, with its quarantine flag."""
     listed = given(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("file_id"))
-    return triage.mark_quarantined(flagged, listed, "file_id")
+    return triage.mark_quarantined(verdicts(spark, sf).select("file_id", "verdict"), listed, "file_id")
 
 
 @query("url_clean", cte("urls") + f""",
