@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytesieve.llm.memory import released
 from bytesieve.llm.words import slices
 
 KEPT_PIECES, KEPT_PAIRS, LONG_TEXT = 150_000, 500_000, 1 << 20
@@ -241,6 +242,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     tokens. A null or empty text has no tokens. Ids of rows may be null or repeated."""
     vocabulary = Vocabulary(docs.sparkSession, path)
 
+    @released
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, split = encoder(vocabulary), Splitter(pattern)
         for batch in (part for whole in batches for part in slices(whole, 1)):

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from bytesieve.llm.components import components
 from bytesieve.llm.membership import bitmap, seen, slots
+from bytesieve.llm.memory import released
 from bytesieve.llm.tables import Scratch, stored, tasks
 from bytesieve.llm.words import shingle_sets, slices
 
@@ -40,6 +41,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) ->
     """Per row: id, n (size of the shingle set), key (128 bits of the whole set; null without words), sketch (the k
     smallest hashes as signed numbers, in unsigned order)."""
 
+    @released
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             n, keys, lows = [], [], []
@@ -60,6 +62,7 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, width: int, wanted
     rows are left at the scan but for chance hits of a bounded filter."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "id"))
 
+    @released
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(seen(bits.value, batch.column(2).to_numpy(zero_copy_only=False))))

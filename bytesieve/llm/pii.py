@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytesieve.llm.memory import released
 from bytesieve.llm.words import buffers, slices
 
 # Kinds in order, and their patterns.
@@ -395,6 +396,7 @@ def spans(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str
     base (whether the rules found it). Null and empty texts have none; ids may be null or repeated."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in (part for whole in batches for part in slices(whole, 1, 1 << 20)):
@@ -426,6 +428,7 @@ def redacted(docs: DataFrame, model: Tagger, text_col: str = "text") -> DataFram
     where = docs.columns.index(text_col)
     schema = docs.schema
 
+    @released
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in (part for whole in batches for part in slices(whole, where, 1 << 20)):

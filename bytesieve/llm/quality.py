@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytesieve.llm import labelled
+from bytesieve.llm.memory import released
 from bytesieve.llm.words import Words, hashed, mixed, powers, slices
 
 U = np.uint64
@@ -35,6 +36,7 @@ class Settings:
     epochs: int = 6
     rate: float = 1.0
     rows: int = 6000
+    sample_bytes: int = 192 << 20
     folds: int = 5
     cut: float = 0.3
 
@@ -83,14 +85,13 @@ def fit(rows, s: Settings) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(7)
     table = rng.uniform(-1 / s.size, 1 / s.size, (1 << s.bits, s.size)).astype(np.float32)
     out, bias = np.zeros((2, s.size), np.float32), np.zeros(2, np.float32)
-    shares = [v / max(v.sum(), 1) for _, _, v in rows]
     steps, done = s.epochs * len(rows), 0
     for _ in range(s.epochs):
         for i in rng.permutation(len(rows)):
-            label, at, _ = rows[i]
+            label, at, value = rows[i]
             rate = np.float32(s.rate * (1 - done / steps))
             done += 1
-            part = shares[i]
+            part = value / max(value.sum(), 1)
             vectors = table[at]
             mean = part @ vectors if len(at) else np.zeros(s.size, np.float32)
             z = out @ mean + bias
@@ -106,14 +107,20 @@ def fit(rows, s: Settings) -> tuple[np.ndarray, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Settings = Settings()):
-    """The model learned from at most `s.rows` labelled documents outside the held-out fold."""
+    """The model learned, in one task, from at most `s.rows` labelled documents outside the held-out fold, and no more of
+    them than `s.sample_bytes` of features."""
 
     def features(column):
         parts = list(subwords(column, s.bits, s.grams))
         row, bucket = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         return labelled.summed(row, bucket, len(column), 1 << s.bits)
 
-    return fit(labelled.training_rows(docs, labels, label, features, s.folds, s.rows), s)
+    def packed(rows) -> bytes:
+        weights, bias = fit(rows, s)
+        return np.append(weights.astype(np.float64), bias).tobytes()
+
+    model = np.frombuffer(labelled.fitted(docs, labels, label, features, s.folds, s.rows, s.sample_bytes, packed))
+    return model[:-1].astype(np.float32), float(model[-1])
 
 
 def _scores(column, weights: np.ndarray, bias: float, s: Settings) -> np.ndarray:
@@ -131,6 +138,7 @@ def scored(docs: DataFrame, model, s: Settings = Settings(), id_col: str = "doc_
     weights = docs.sparkSession.sparkContext.broadcast(model[0])
     bias = model[1]
 
+    @released
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2, 1 << 19)):
             score = _scores(batch.column(2), weights.value, bias, s)
@@ -150,6 +158,7 @@ def kept(docs: DataFrame, model, s: Settings = Settings(), text_col: str = "text
     weights, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
     where = docs.columns.index(text_col)
 
+    @released
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, where, 1 << 19)):
             keep = _scores(batch.column(where), weights.value, bias, s) >= s.cut

@@ -19,6 +19,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows of whole texts go to Python workers in batches of at most `rows`: at Spark's own 10,000 the executor and each
+    of its workers would hold tens of megabytes of texts several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Stored tables of one computation; all that it does not keep are deleted at its end."""
 
