@@ -206,24 +206,35 @@ class Reassembler(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         expected, held, timer = self.place.get() or (0, 0, -1)
+        stored = {k[0] for k in self.waiting.keys()} if held else set()
+        fresh: dict[int, bytes] = {}  # came now and wait, at most as many as may; what is released now never is a state cell
         for chunk in rows:
             out = []
             ordered = chunk.sort_values(["arrival", "idx"], kind="stable")
             for idx, data in zip(ordered["idx"].tolist(), ordered["data"], strict=True):
                 if idx > expected:
-                    if held < self.max_waiting:
-                        held += not self.waiting.containsKey((idx,))
+                    if held >= self.max_waiting:
+                        out.append((key[0], idx, None, "overflow", bytes(data)))
+                    elif idx in stored:
                         self.waiting.updateValue((idx,), (bytes(data),))
                     else:
-                        out.append((key[0], idx, None, "overflow", bytes(data)))
+                        held += idx not in fresh
+                        fresh[idx] = bytes(data)
                 elif idx == expected:
                     out.append((key[0], idx, expected, "written", bytes(data)))
                     expected += 1
-                    while held and self.waiting.containsKey((expected,)):
-                        out.append((key[0], expected, expected, "written", self.waiting.getValue((expected,))[0]))
-                        self.waiting.removeKey((expected,))
+                    while expected in fresh or expected in stored:
+                        if expected in fresh:
+                            piece = fresh.pop(expected)
+                        else:
+                            piece = self.waiting.getValue((expected,))[0]
+                            self.waiting.removeKey((expected,))
+                            stored.discard(expected)
+                        out.append((key[0], expected, expected, "written", piece))
                         expected, held = expected + 1, held - 1
             yield self.rows(out)
+        for idx, data in fresh.items():
+            self.waiting.updateValue((idx,), (data,))
         if self.gap_timeout_ms:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
