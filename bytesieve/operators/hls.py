@@ -35,15 +35,15 @@ def media_playlists(streams: DataFrame, documents: DataFrame, max_hops: int = MA
         "stream_id", F.col("url").alias("base_url"), F.lit(None).cast("string").alias("content"), "hops"))
 
 
-def cleaned(streams: DataFrame, documents: DataFrame, bodies: DataFrame, rule_set=rules.FILTER_RULES) -> DataFrame:
+def cleaned(streams: DataFrame, documents: DataFrame, bodies: DataFrame, rule_set=rules.FILTER_RULES, repair: bool = True) -> DataFrame:
     """Every entry of every stream with what became of it: stream_id, idx, url, duration, state (clean, blocked or failed),
     issues, clean_data (NULL where the fetch failed).  Written once: counters and output read the same rows.
 
-    ``bodies`` has url and data; an entry without one is a failed fetch.
+    ``bodies`` has url and data; an entry without one is a failed fetch.  ``repair`` as in :func:`segments.filter_segments`.
     """
     listed = playlists.entries(media_playlists(streams, documents).where(F.col("content").isNotNull()).drop("hops"))
     fetched = listed.join(bodies.select("url", "data"), "url", "left")
-    out = segments.filter_segments(fetched, rule_set)
+    out = segments.filter_segments(fetched, rule_set, repair=repair)
     failed = F.col("data").isNull()
     return O.written(out.select(
         "stream_id", "idx", "url", "duration",

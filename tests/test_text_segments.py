@@ -13,7 +13,7 @@ def conversations(spark, path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(path))
 
 
-@pytest.mark.parametrize("name", ["filter_segment", "clean_stream_hls", "clean_dispatch"])
+@pytest.mark.parametrize("name", ["filter_segment", "clean_stream_hls", "clean_dispatch", "hls_output"])
 def test_text_is_not_repaired(spark, tmp_path, name):
     conversations(spark, tmp_path / "conversations.parquet")
     con = duckdb.connect()
