@@ -26,12 +26,13 @@ MAP_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStorePro
 # ------------------------------------------------------------ running
 
 def stream_given(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table as a file stream, be it one file or a folder of them: a pattern that only its name matches, for a
+    stream may not start at a plain file."""
     schema = tables.given(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.parquet(sf_dir)
+    return reader.parquet(os.path.join(sf_dir, f"{name}.parque[t]"))
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:

@@ -151,3 +151,15 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert (r.written, r.bytes_written, r.dropped) == (
         len(written), sum(len(x.data) for x in written), sum(x.outcome == "overflow" for x in out))
     assert r.overflow and r.next_idx == max(x.idx for x in written) + 1
+
+
+def test_given_table_as_file_or_folder(spark, tmp_path):
+    """A table stored as a folder of parts streams as whole as one stored as a single file."""
+    df = spark.range(40).withColumnRenamed("id", "conv_id")
+    df.repartition(4).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "conversations.parquet")
+    for kind in ("folder", "file"):
+        got = jobs.run(jobs.stream_given(spark, str(tmp_path / kind), "conversations"))
+        assert sorted(r.conv_id for r in got.collect()) == list(range(40)), kind
