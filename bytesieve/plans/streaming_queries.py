@@ -110,7 +110,7 @@ def st_resume_state(spark, sf):
 @query("st_level_changes", O["level_changes"])
 def st_level_changes(spark, sf):
     replay = jobs.Replay(jobs.tables.table(spark, sf, "sys_metrics"), "ts_us")
-    return jobs.run(jobs.level_change_stream(telemetry.with_level(replay.stream())), replay=replay)
+    return jobs.level_changes(telemetry.with_level(replay.stream()), replay)
 
 
 @query("st_idle_sessions", O["idle_sessions"].replace("select host, session, min(ts_us) as start_us, max(ts_us) as end_us, count(*) as requests from n group by 1, 2",

@@ -274,7 +274,8 @@ def reassemble_stream(chunks: DataFrame, key: str = "stream_id", max_waiting: in
 
 
 class LevelChanges(StatefulProcessor):
-    """The last level of every key."""
+    """The last level of every key.  Spark hands over a key's rows of a micro-batch in chunks of no order, so they are put
+    in order as a whole, three numbers a row: the micro-batch bounds what a task holds."""
 
     def __init__(self, key: str):
         self.key = key
@@ -284,18 +285,47 @@ class LevelChanges(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (last,) = self.last.get() or (0,)
-        for chunk in rows:
-            ordered = chunk.sort_values(["ts_us", "event_id"])
-            before = ordered["level"].shift(1, fill_value=last)
-            changed = ordered.assign(prev_level=before, **{self.key: key[0]})[ordered["level"] != before]
-            last = int(ordered["level"].iloc[-1])
-            yield changed[[self.key, "ts_us", "event_id", "prev_level", "level"]].astype({"prev_level": "int32"})
-        self.last.update((last,))
+        ordered = pd.concat([c[["ts_us", "event_id", "level"]] for c in rows]).sort_values(["ts_us", "event_id"])
+        before = ordered["level"].shift(1, fill_value=last)
+        changed = ordered.assign(prev_level=before, **{self.key: key[0]})[ordered["level"] != before]
+        self.last.update((int(ordered["level"].iloc[-1]),))
+        yield changed[[self.key, "ts_us", "event_id", "prev_level", "level"]].astype({"prev_level": "int32"})
 
 
 def level_change_stream(metrics: DataFrame, key: str = "host") -> DataFrame:
-    """Emit a host's row whenever its level differs from the one before, chunk by chunk in the order of time."""
+    """Emit a host's row whenever its level differs from the one before, each micro-batch in the order of time.  For small
+    micro-batches: a host's rows go to one task.  :func:`level_changes` spreads them."""
     use_map_state(metrics.sparkSession)
     kind = metrics.schema[key].dataType.simpleString()
     return metrics.select(key, "ts_us", "event_id", "level").groupBy(key).transformWithStateInPandas(
         LevelChanges(key), f"`{key}` {kind}, ts_us long, event_id long, prev_level int, level int", "append", "None")
+
+
+def level_changes(metrics: DataFrame, replay: Replay | None = None, key: str = "host") -> DataFrame:
+    """The rows of :func:`level_change_stream`, drained, for micro-batches and hosts of any size.
+
+    Each micro-batch is ordered in (host, bucket) windows, and its first rows meet the hosts' last levels of the micro-batch
+    before.  Changes and last levels are one folder per micro-batch, overwritten on a retry.
+    """
+    spark, order = metrics.sparkSession, ["ts_us", "event_id"]
+    narrow = metrics.select(key, *order, "level")
+    out, state = session.new_path(spark, "levels"), session.new_path(spark, "last-levels")
+    last_schema = narrow.select(key, F.col("level").alias("last")).schema
+    spark.createDataFrame([], last_schema).write.parquet(os.path.join(state, "batch=-1"))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = O.written(batch, "level-rows")
+        last = spark.read.schema(last_schema).parquet(os.path.join(state, f"batch={batch_id - 1}"))
+        prev = O.null_safe_join(O.with_previous(rows, key, order, ["level"]), last, [key], "left")
+        prev = prev.withColumn("prev_level", F.coalesce("prev_level", "last", F.lit(0)))
+        prev.where("level <> prev_level").select(key, *order, "prev_level", "level").write.mode("overwrite").parquet(
+            os.path.join(out, f"batch={batch_id}"))
+        newest = rows.groupBy(key).agg(F.max_by("level", F.struct(*order)).alias("now"))
+        both = last.withColumn("now", F.lit(None).cast("int")).unionByName(newest.withColumn("last", F.lit(None).cast("int")))
+        both.groupBy(key).agg(F.coalesce(F.max("now"), F.max("last")).alias("last")).write.mode("overwrite").parquet(
+            os.path.join(state, f"batch={batch_id}"))
+
+    schema = narrow.withColumn("prev_level", F.col("level")).select(key, *order, "prev_level", "level").schema
+    spark.createDataFrame([], schema).write.parquet(os.path.join(out, "batch=-1"))
+    drain(narrow, save, "append", replay)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)

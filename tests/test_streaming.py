@@ -163,3 +163,17 @@ def test_given_table_as_file_or_folder(spark, tmp_path):
     for kind in ("folder", "file"):
         got = jobs.run(jobs.stream_given(spark, str(tmp_path / kind), "conversations"))
         assert sorted(r.conv_id for r in got.collect()) == list(range(40)), kind
+
+
+def test_level_changes_of_a_large_micro_batch(spark):
+    """More rows of a host than one chunk holds, stored in no order of time, in one micro-batch and in several."""
+    df = te.with_level(spark.range(30_000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 2).alias("host"), (F.col("id") * 7919 % 15_013 * 1000).alias("ts_us"),
+        (F.col("id") * 31 % 100).cast("double").alias("ram_pct"), F.lit(0.0).alias("cpu_pct")))
+    key = lambda d: sorted(map(tuple, d.select("host", "ts_us", "event_id", "prev_level", "level").collect()))
+    want = key(te.level_changes(df))
+    for steps in (1, 3):
+        replay = jobs.Replay(df, "ts_us", steps)
+        assert key(jobs.level_changes(replay.stream(), replay)) == want
+    replay = jobs.Replay(df, "ts_us", 1)
+    assert key(jobs.run(jobs.level_change_stream(replay.stream()), replay=replay)) == want
