@@ -19,6 +19,22 @@ def labelled_csv(spark: SparkSession, path: str, width: int, **kw) -> DataFrame:
     return spark.read.csv(path, header=True, schema=labelled_schema(width, **kw))
 
 
+RECORD_END = "\x1e"  # ends a text among many in a file; Spark splits a large file there, so no task needs all of it
+
+
+def packed(df: DataFrame, text: Column, path: str) -> None:
+    """Texts written many to a file, for as many files as tasks whatever the number of texts."""
+    whole = F.when(F.contains(text, F.lit(RECORD_END)), F.raise_error("a text holds the record separator")).otherwise(text)
+    df.select(whole.alias("value")).write.option("lineSep", RECORD_END).text(path)
+
+
+def packed_playlists(spark: SparkSession, path: str) -> DataFrame:
+    """One row per playlist of :func:`packed` files, each playlist after a line with its URL."""
+    value = spark.read.option("lineSep", RECORD_END).text(path)
+    return value.select(F.substring_index("value", "\n", 1).alias("base_url"),
+                        F.expr("substring(value, instr(value, '\n') + 1)").alias("content"))
+
+
 def playlist_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per playlist file."""
     return spark.read.text(path, wholetext=True).select(
@@ -64,5 +80,8 @@ def resume_states(df: DataFrame, text: str = "value") -> DataFrame:
         F.when(has_ts, number("timestamp")).otherwise(F.lit(0)).alias("saved_at"))
 
 
-def resume_files(spark: SparkSession, path: str) -> DataFrame:
+def resume_files(spark: SparkSession, path: str, pack: bool = False) -> DataFrame:
+    """States of a folder: one to a file, or many to a file (:func:`packed`), for outputs too many for a file each."""
+    if pack:
+        return resume_states(spark.read.option("lineSep", RECORD_END).text(path))
     return resume_states(spark.read.text(path, wholetext=True))

@@ -160,3 +160,22 @@ def test_flat_and_nested_folders_below_a_labelled_name(spark, tmp_path):
     rows = files.sample_folders(spark, str(root), {"benign": 0, "malware": 1})
     got = {(r.label, r.file_size): r["count"] for r in rows.groupBy("label", "file_size").count().collect()}
     assert got == {(1, 0): 3000, (1, 2): 1, (0, 2): 1, (None, 1): 1}
+
+
+def test_packed_playlists(spark, tmp_path):
+    """Playlists of one file stay apart, whatever their lines; a text that would break one is refused."""
+    rows = [("http://a/1", "#EXTM3U\n\nseg.ts\n"), ("http://a/2", ""), ("http://a/3", "x"), ("http://a/4", "#EXTM3U\r\ny\n#EXTM3U")]
+    df = spark.createDataFrame(rows, "base_url string, content string").coalesce(1)
+    text.packed(df, F.concat("base_url", F.lit("\n"), "content"), str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").glob("part-*"))) == 1
+    back = text.packed_playlists(spark, str(tmp_path / "p"))
+    assert sorted((r.base_url, r.content) for r in back.collect()) == rows
+    with pytest.raises(Exception, match="record separator"):
+        text.packed(df, F.lit("a\x1eb"), str(tmp_path / "q"))
+
+
+def test_every_playlist_is_reported(spark, sf_dir):
+    from bytesieve.plans import catalog
+    got = catalog.queries()["src_playlist"](spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert sorted(r.playlist_id for r in got.collect()) == sorted(r.o_orderkey for r in orders.collect())
