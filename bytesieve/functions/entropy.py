@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SLICE = 1024
+FEATURE_SLICE = 128  # values whose work arrays, some tens of bytes a byte, are held at once
 
 
 def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,29 +106,32 @@ def byte_features(data: Column, width: int, windows: int, *, normalize: bool = T
     """One pass for all that is made of the padded bytes, as ARRAY<FLOAT>: the bytes, then the entropies of each window and
     of the whole as shares of 8 bits, then the 256 shares of byte values. Window counts add up to the whole's."""
 
+    total = width + (windows + 1 if entropy else 0) + (256 if histogram else 0)
+
     @F.arrow_udf("array<float>")
     def run(values: pa.Array) -> pa.Array:
-        out = []
-        for s in _slices(values):
-            raw, starts, lengths = _flat(s)
+        made = np.empty((len(values), total), np.float32)  # filled slice by slice: the batch's vectors exist once
+        for at in range(0, len(values), FEATURE_SLICE):
+            raw, starts, lengths = _flat(values.slice(at, FEATURE_SLICE))
             n, take = len(starts), np.minimum(lengths, width)
+            out = made[at:at + n]
             rows = np.repeat(np.arange(n), take)
             inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
             padded = np.zeros((n, width), np.uint8)
             padded[rows, inner] = raw[np.repeat(starts, take) + inner]
-            parts = [(padded / 255.0 if normalize else padded).astype(np.float32)]
+            out[:, :width] = padded / 255.0 if normalize else padded
             if entropy or histogram:
                 step = width // windows
-                at = np.arange(n)[:, None] * 256
-                count = lambda cells: np.bincount((at + cells).ravel(), minlength=n * 256).reshape(n, 256)
+                cell = np.arange(n)[:, None] * 256
+                count = lambda cells: np.bincount((cell + cells).ravel(), minlength=n * 256).reshape(n, 256)
                 each = [count(padded[:, w * step:(w + 1) * step]) for w in range(windows)]
                 whole = sum(each) + (count(padded[:, windows * step:]) if windows * step < width else 0)
                 if entropy:
                     bits = [_entropy(c, np.full(n, step)) for c in each] + [_entropy(whole, np.full(n, width))]
-                    parts.append((np.stack(bits, axis=1) / 8).astype(np.float32))
+                    out[:, width:width + windows + 1] = np.stack(bits, axis=1) / 8
                 if histogram:
-                    parts.append((whole / float(width)).astype(np.float32))
-            out.append(np.concatenate(parts, axis=1))
-        return _lists(np.concatenate(out), pa.float32()) if out else pa.array([], pa.list_(pa.float32()))
+                    out[:, total - 256:] = whole / float(width)
+        flat = pa.Array.from_buffers(pa.float32(), made.size, [None, pa.py_buffer(made)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * total), flat)
 
     return run(data)

@@ -86,3 +86,28 @@ def test_class_profiles(spark):
     df = spark.createDataFrame([(0, [1.0, 3.0]), (0, [3.0, 5.0]), (1, [7.0, 9.0])], "label int, features array<double>")
     got = {(r.label, r.slot): r["mean"] for r in features.class_profiles(df, width=2).collect()}
     assert got == {(0, 0): 2.0, (0, 1): 4.0, (1, 0): 7.0, (1, 1): 9.0}
+
+
+def test_vectors_of_a_batch_exist_once(monkeypatch):
+    """Work arrays beside a full batch's vectors stay small, and its slices meet without a seam."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from bytesieve.functions import entropy as E
+    held = []
+    monkeypatch.setattr(E.F, "arrow_udf", lambda kind: lambda f: lambda *a: held.append(f))
+    E.byte_features(None, 512, 4)
+    rng = np.random.default_rng(7)
+    raw = [rng.integers(0, 256, int(n), dtype=np.uint8).tobytes() for n in rng.integers(0, 600, 5000)]
+    values = pa.array(raw, pa.binary())
+    tracemalloc.start()
+    try:
+        got = held[0](values)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * 5000 * 773 * 4
+    for i in (0, 127, 128, 1023, 1024, 4999):
+        assert np.allclose(got[i].as_py(), brute(raw[i], 1, False, "UNKNOWN")[:773], atol=1e-6)
+    assert len(held[0](values.slice(0, 0))) == 0 and held[0](values.slice(3, 2)).to_pylist() == got.slice(3, 2).to_pylist()
